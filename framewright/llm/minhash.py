@@ -291,3 +291,9 @@ def near_duplicates(
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with all its columns, without the documents that another one stands for."""
+    gone = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("_gone"))
+    return docs.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")

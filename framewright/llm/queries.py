@@ -53,11 +53,18 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_cost_packing": op5_cost_packing,
     "op7_circulant_minhash": op7_circulant_minhash,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLES: dict[str, str] = {
