@@ -26,6 +26,18 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm import langid
 
@@ -60,6 +72,8 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
+    "op2_template_removal": op2_template_removal,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_cost_packing": op5_cost_packing,
