@@ -65,6 +65,12 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.simple8b import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.decontam import overlaps
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_cost_packing": op5_cost_packing,
     "op7_circulant_minhash": op7_circulant_minhash,
+    "op8_simple8b": op8_simple8b,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
