@@ -59,6 +59,12 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.sentence_spans import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.minhash import near_duplicates
 
@@ -71,6 +77,12 @@ def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.llm.secrets import findings
+
+    return findings(table(spark, sf_dir, "documents"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framewright.llm.decontam import overlaps
 
@@ -83,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_cost_packing": op5_cost_packing,
+    "op6_sentence_spans": op6_sentence_spans,
     "op7_circulant_minhash": op7_circulant_minhash,
+    "op9_secret_forest": op9_secret_forest,
     "op8_simple8b": op8_simple8b,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
