@@ -61,9 +61,8 @@ def candidates(rows: DataFrame, text: str = "text") -> DataFrame:
             F.lower(F.array_join(F.slice(F.col("_w"), F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4))), " ")).alias("around"),
         ),
     )
-    # a Generate of its own, so that the array of words isn't carried along
-    one = listed.select(*[F.col(f"`{c}`") for c in kept], found.alias("_found")).filter(F.size("_found") > 0)
-    one = one.select(*[F.col(f"`{c}`") for c in kept], F.explode("_found").alias("_f"))
+    # no filter on the array: pushed down, it would split the text anew for every word
+    one = listed.select(*[F.col(f"`{c}`") for c in kept], F.explode(found).alias("_f"))
     one = one.select(*[F.col(f"`{c}`") for c in kept], "_f.*")
     one = one.withColumn("candidate", F.regexp_extract("word", f"({_KEY})", 1))
     return one.filter(F.col("candidate").rlike("[0-9]"))
@@ -76,7 +75,7 @@ def described(found: DataFrame) -> DataFrame:
     kinds = F.translate(c, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")).cast("double")
     bare = F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")
-    around = F.concat(F.col("around"), F.lit(" "), F.lower(F.substring_index(F.col("word"), c, 1)))
+    around = F.concat(F.col("around"), F.lit(" "), F.lower(F.expr("substring_index(word, candidate, 1)")))
     has = lambda words: around.rlike(r"(?<![a-z])(?:%s)(?![a-z])" % "|".join(words)).cast("double")
     return found.select(
         "*",
@@ -137,7 +136,7 @@ def labelled_findings(n: int = 2000, seed: int = 7) -> list[tuple[str, int]]:
         )()
 
     def sign() -> tuple[str, str]:
-        return rng.choice([(" = ", '"'), ("=", ""), (": ", ""), (' = "', '"'), (" ", ""), ('="', '"'), (": '", "'")])
+        return rng.choice([(" = ", ""), ("=", ""), (": ", ""), (' = "', '"'), (" ", ""), ('="', '"'), (": '", "'")])
 
     rows = []
     for k in range(n):
@@ -148,8 +147,6 @@ def labelled_findings(n: int = 2000, seed: int = 7) -> list[tuple[str, int]]:
                 left = " = "
         else:
             name, value = harmless()
-        if left.endswith((" = ",)) and right:
-            left += right
         text = f"{prose(5)} {name}{left}{value}{right} {prose(4)}".strip()
         rows.append((rng.choice([text, text, text, text.upper()]), k % 2))
     return rows
