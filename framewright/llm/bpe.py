@@ -10,86 +10,91 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 # Unicode White_Space, as in the tokenizers' \s (Python's own \s has four more).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run with its leading space, or white space: the byte-level pattern never joins across.
 _RUNS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WORDS = re.compile(f"[^{_WS}]+")
 #: Letters, then ASCII punctuation: a cut between them is always made.
-_TAIL = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+_TAIL = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _shown() -> dict[int, int]:
+    """Byte-level files write a byte as itself if it can be printed, the others in order
+    as the characters from 256 on."""
+    table, n = {}, 256
+    for b in range(256):
+        if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255):
+            table[b], n = n, n + 1
+    return table
+
+
+_SHOWN = _shown()
+_SPACE = chr(_SHOWN[32])
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 32-bit integers")
 _PLAIN = re.compile("[\\t-\\r -~\\xa0-\\u024f\\u2010-\\u2027\\u20ac]*")
 
 
-class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+class PieceEncoder(dict):
+    """Encodes texts to little-endian unsigned 32-bit ids; the mapping holds the ids of
+    pieces, and learns a piece when it is first asked for.
 
     ``mode`` is ``bytes`` for a byte-level file that keeps white space, ``words`` for one
-    that normalises (NFC, lower case) and drops white space.
+    that normalises (NFC, lower case) and drops white space. The table is emptied when it
+    has more than ``most`` pieces.
     """
 
-    def __init__(self, path: str, mode: str, most: int = 600_000):
+    def __init__(self, path: str, mode: str, most: int = 1_200_000):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
+        self._merge = self._tok.model.tokenize
         self._mode, self._most = mode, most
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        fast = getattr(self._tok, "encode_batch_fast", self._tok.encode_batch)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Adds pieces that the table doesn't have yet."""
-        known, fresh, split = self._known, set(), []
-        for p in pieces:
-            m = _TAIL.fullmatch(p)
-            if m:
-                split.append((p, m[1], m[2]))
-                fresh.update(x for x in m.groups() if x not in known)
-            else:
-                fresh.add(p)
-        todo = list(fresh)
-        known.update(zip(todo, self._encode(todo)))
-        known.update((p, known[a] + known[b]) for p, a, b in split)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The ids of letters with at most one space before them: one word to the model,
+        which takes bytes as the characters that the byte-level files use for them."""
+        if self._mode == "words":
+            word = word.lower()
+        if word.isascii():
+            word = word.replace(" ", _SPACE)
+        else:
+            word = word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self._merge(word)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        m = _TAIL.fullmatch(piece)
+        if m is None:
+            ids = self._whole(piece)
+        elif m[2]:
+            ids = self[m[1]] + self[m[2]]
+        else:
+            ids = self._word(piece)
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes; texts are taken some megabytes at a time."""
-        batch, size = [], 0
+        """The ids of each text, as bytes."""
+        get, words = self.__getitem__, self._mode == "words"
+        find = _WORDS.findall if words else _RUNS.findall
         for text in texts:
-            batch.append(text)
-            size += len(text)
-            if size >= 2_000_000:
-                yield from self._some(batch)
-                batch, size = [], 0
-        if batch:
-            yield from self._some(batch)
-
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
-        whole = {}
-        cut: list[list[str]] = []
-        find = _RUNS.findall if self._mode == "bytes" else _WORDS.findall
-        for i, text in enumerate(texts):
-            if self._mode == "words" and not _PLAIN.fullmatch(text):
-                whole[i] = text  # normalisation may act across pieces
-                cut.append([])
+            if len(self) > self._most:
+                self.clear()
+            if words and not _PLAIN.fullmatch(text):
+                yield self._whole(text)  # normalisation may act across pieces
             else:
-                cut.append(find(text))
-        if whole:
-            whole = dict(zip(whole, self._encode(list(whole.values()))))
-        known, new = self._known, set()
-        for pieces in cut:
-            new.update(pieces)
-        if len(known) + len(new - known.keys()) > self._most:
-            known.clear()  # the table's bound; what this batch needs is learnt again
-        self._learn(new - known.keys())
-        for i, pieces in enumerate(cut):
-            yield whole[i] if i in whole else b"".join(map(known.__getitem__, pieces))
+                yield b"".join(map(get, find(text)))
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
