@@ -180,7 +180,7 @@ def best_split(rows: DataFrame, x: str, label: str, weight: str) -> DataFrame:
     cand = cand.select(
         ((F.col("v") + F.col("next")) / 2).alias("threshold"),
         F.least(F.col("lp") + F.col("tq") - F.col("lq"), F.col("lq") + F.col("tp") - F.col("lp")).alias("error"),
-        (F.col("lq") + F.col("tp") - F.col("lp") <= F.col("lp") + F.col("tq") - F.col("lq")).alias("above"),
+        (F.col("lp") + F.col("tq") - F.col("lq") <= F.col("lq") + F.col("tp") - F.col("lp")).alias("above"),
     )
     best = F.min(F.struct(F.round("error", 9).alias("error"), F.col("threshold"), F.col("above"))).alias("b")
     return cand.agg(best).select("b.threshold", "b.error", "b.above")

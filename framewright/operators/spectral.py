@@ -66,15 +66,16 @@ def sequence_scores(a: DataFrame, b: DataFrame, key: str, order: str, vector: st
     sequences are held by one task."""
     import pandas as pd
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({key: [], "score": []})
-        left, right = (np.stack(p.sort_values(order)[vector].to_numpy()) for p in (x, y))
-        return pd.DataFrame({key: [x[key].iloc[0]], "score": [score(left, right)]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o")
+        left, right = (pdf[pdf["_side"] == k]["_v"] for k in (0, 1))
+        if left.empty or right.empty:
+            return pd.DataFrame({key: pdf[key].iloc[:0], "score": []})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "score": [score(np.stack(left.to_numpy()), np.stack(right.to_numpy()))]})
 
     kind = a.schema[key].dataType.simpleString()
-    pick = [key, order, vector]
-    return a.select(pick).groupBy(key).cogroup(b.select(pick).groupBy(key)).applyInPandas(run, f"`{key}` {kind}, score double")
+    one = lambda df, side: df.select(key, F.col(order).alias("_o"), F.col(vector).alias("_v"), F.lit(side).alias("_side"))
+    return one(a, 0).unionByName(one(b, 1)).groupBy(key).applyInPandas(run, f"`{key}` {kind}, score double")
 
 
 def change_scores(frames: DataFrame, vector: str, keys: list[str], pos: str, length: int, step: int, penalty: float = 1.0) -> DataFrame:

@@ -85,7 +85,7 @@ def ubm_top5_llr(spark, sf):
 
 STUMP = """WITH d AS (SELECT l_discount::DOUBLE AS v, sum(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END) AS p, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1.0::DOUBLE END) AS q FROM lineitem GROUP BY 1),
     c AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(p) OVER (ORDER BY v) AS lp, sum(q) OVER (ORDER BY v) AS lq, sum(p) OVER () AS tp, sum(q) OVER () AS tq FROM d),
-    e AS (SELECT (v + nx) / 2 AS threshold, least(lp + tq - lq, lq + tp - lp) AS error, lq + tp - lp <= lp + tq - lq AS above FROM c WHERE nx IS NOT NULL)
+    e AS (SELECT (v + nx) / 2 AS threshold, least(lp + tq - lq, lq + tp - lp) AS error, lp + tq - lq <= lq + tp - lp AS above FROM c WHERE nx IS NOT NULL)
     SELECT round(threshold, 6) AS threshold, round(error, 6) AS error, above FROM e ORDER BY error, threshold LIMIT 1"""
 
 
