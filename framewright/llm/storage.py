@@ -1,34 +1,12 @@
-"""Folders and tables that every executor can reach.
-
-Intermediate results are written below ``spark.checkpoint.dir``, the folder which the
-cluster shares between driver and executors. Only a local session without that setting
-gets a folder of its own.
-"""
+"""Tables that every executor can reach, in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables, without a trailing slash."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not conf.get("spark.master", "").split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='framewright-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from pyspark.sql import DataFrame
 
+from framewright.workspace import fresh_dir, shared_dir
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["fresh_dir", "shared_dir", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
