@@ -14,8 +14,10 @@ paired for all pairs:
    Jaccard similarity of the sets of words, and components are formed;
 2. buckets whose members now lie in one component hold no further information. In the
    others, pairs from different components are compared too, if they can reach the
-   threshold at all: the shingles that no other compared document has bound from above what
-   a pair can share. Confirmed links are added and components formed again.
+   threshold at all. The comparison with the hub has told what each member lacks of it, as a
+   bit map, and what it has besides: two members share at most the hub's shingles that
+   neither lacks, and of the others what the maps' union and the shingles that no other
+   compared document has leave. Confirmed links are added and components formed again.
 
 A pair of similarity 0.8 misses all 36 bands of 5 coordinates with a probability under
 1e-6; nothing else is lost, and nothing is capped.
@@ -31,10 +33,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.graph import components
@@ -49,6 +53,8 @@ _LOWER_BYTES = np.arange(256, dtype=np.uint8)
 _LOWER_BYTES[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: 64-bit integers in a bit map of shingles.
+LONGS = 8
 #: Bytes of text that are hashed at once.
 _SLICE = 1 << 21
 
@@ -168,29 +174,43 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose sets reach the similarity."""
+def _bits(shingles: frozenset) -> list[int]:
+    """A bit map of the shingles in LONGS 64-bit integers: at most one bit for each."""
+    bits = 0
+    for s in shingles:
+        bits |= 1 << (xxhash.xxh3_64_intdigest("\x00".join(s)) % (64 * LONGS))
+    return [(bits >> (64 * k)) & (2**64 - 1) for k in range(LONGS)]
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``pairs(u, v)`` with what their sets have in common: ``both`` shingles, whether they
+    are ``linked``, and bit maps ``u0..`` and ``v0..`` of what only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, frozenset()
         for batch in batches:
             u, v, at, bt = (batch.column(k).to_pylist() for k in range(4))
-            out = []
-            for x, y, a, b in zip(u, v, at, bt):
+            both, linked, maps = [], [], []
+            for y, a, b in zip(v, at, bt):
                 if y != last:
                     last, own = y, word_set(b, words)
                 other = word_set(a, words)
-                both = len(own & other)
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"]
-            )
-
+                n = len(own & other)
+                both.append(n)
+                linked.append(100 * n >= percent * (len(own) + len(other) - n))
+                maps.append(_bits(other - own) + _bits(own - other))
+            bits = np.array(maps, dtype=np.uint64).reshape(-1, 2 * LONGS).astype(np.int64)
+            cols = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())]
+            cols += [pa.array(bits[:, k]) for k in range(2 * LONGS)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    maps = [f"{x}{k}" for x in "uv" for k in range(LONGS)]
+    names = ["u", "v", "both", "linked", *maps]
+    schema = "u bigint, v bigint, both bigint, linked boolean, " + ", ".join(f"{m} bigint" for m in maps)
     rows = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("_a")), "u").join(
         texts.select(F.col("id").alias("v"), F.col("text").alias("_b")), "v"
     )
-    return rows.select("u", "v", "_a", "_b").sortWithinPartitions("v").mapInArrow(run, "u bigint, v bigint")
+    return rows.select("u", "v", "_a", "_b").sortWithinPartitions("v").mapInArrow(run, schema)
 
 
 def _lonely(texts: DataFrame, words: int) -> DataFrame:
@@ -232,9 +252,8 @@ def near_duplicates(
     hubs = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(draw).alias("h"))
     hubs = hubs.filter("c > 1").select("key", "h.hub", "h.hub_n")
     shared = written(placed.join(hubs, "key"), "buckets")  # members of buckets with company
-    reach = lambda a, b: (F.lit(100) * F.least(a, b)) >= (F.lit(percent) * F.greatest(a, b))
     stars = written(
-        shared.filter((F.col("rep") != F.col("hub")) & reach(F.col("n"), F.col("hub_n")))
+        shared.filter(F.col("rep") != F.col("hub"))
         .select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
         .distinct(),
         "stars",
@@ -246,39 +265,57 @@ def near_duplicates(
         ),
         "texts",
     )
-    links = written(_confirmed(stars, texts, words, percent), "links")
-    first = written(components(links), "components")
+    tested = written(_compared(stars, texts, words, percent), "tested")
+    first = written(components(tested.filter("linked").select("u", "v")), "components")
 
     # buckets that still hold several components
-    labelled = shared.select("key", "rep", "n").join(first, F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("key", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    labelled = shared.join(first, F.col("rep") == F.col("node"), "left")
+    labelled = labelled.select("key", "rep", "n", "hub", "hub_n", F.coalesce("root", "rep").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     rest = written(labelled.join(open_.select("key"), "key", "left_semi"), "open")
     alone = _lonely(texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words)
-    rest = written(
-        rest.join(alone, F.col("rep") == F.col("id"), "left").select(
-            "key", "rep", "n", "label", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")
-        ),
-        "open",
+    # what each member lacks of its hub, and what it has besides
+    here, there = [f"u{k}" for k in range(LONGS)], [f"v{k}" for k in range(LONGS)]
+    lost, extra = [f"l{k}" for k in range(LONGS)], [f"e{k}" for k in range(LONGS)]
+
+    def seen_from(member: str, hub: str, own: list[str], other: list[str]) -> DataFrame:
+        maps = [F.col(m).alias(x) for m, x in zip(other + own, lost + extra)]
+        return tested.select(F.col(member).alias("_r"), F.col(hub).alias("_h"), "both", *maps)
+
+    seen = seen_from("u", "v", here, there).union(seen_from("v", "u", there, here))
+    rest = (
+        rest.join(seen, (F.col("rep") == F.col("_r")) & (F.col("hub") == F.col("_h")), "left")
+        .join(alone, F.col("rep") == F.col("id"), "left")
+        .select(
+            "key", "rep", "n", "label", "hub_n",
+            (F.col("n") - F.coalesce("both", "n")).alias("more"),
+            F.coalesce("alone", F.lit(0)).alias("alone"),
+            *[F.coalesce(x, F.lit(0)).alias(x) for x in lost + extra],
+        )
+    )
+    rest = written(rest, "open")
+
+    def either(maps: list[str]) -> Column:  # at least so many in the union
+        return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{x}").bitwiseOR(F.col(f"b.{x}"))) for x in maps])
+
+    shared_more = F.least(
+        F.col("a.more") - F.col("a.alone"), F.col("b.more") - F.col("b.alone"), F.col("a.more") + F.col("b.more") - either(extra)
     )
-    # |A and B| >= p / (100 + p) * (|A| + |B|), and is at most what either has in common with others
-    one, two = rest.alias("a"), rest.alias("b")
-    need = F.lit(percent) * (F.col("a.n") + F.col("b.n"))
+    most = F.col("a.hub_n") - either(lost) + F.greatest(F.lit(0), shared_more)
     pairs = (
-        one.filter(F.col("a.common") * 100 >= F.col("a.n") * percent)
+        rest.alias("a")
         .join(
-            two.filter(F.col("b.common") * 100 >= F.col("b.n") * percent),
+            rest.alias("b"),
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.rep") > F.col("b.rep"))
             & (F.col("a.label") != F.col("b.label"))
-            & (F.lit(100 + percent) * F.least("a.common", "b.common") >= need)
-            & reach(F.col("a.n"), F.col("b.n")),
+            & (F.lit(100 + percent) * F.least(most, "a.n", "b.n") >= F.lit(percent) * (F.col("a.n") + F.col("b.n"))),
         )
         .select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
         .distinct()
         .join(stars, ["u", "v"], "left_anti")
     )
-    more = _confirmed(written(pairs, "pairs"), texts, words, percent)
+    more = _compared(written(pairs, "pairs"), texts, words, percent).filter("linked").select("u", "v")
     found = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     labels = classes.select("f1", "f2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left")
