@@ -1,0 +1,302 @@
+"""Operators against brute-force versions on the small tables."""
+
+import base64
+import hashlib
+import html
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+import regex
+
+import compare
+from framewright.llm import decontam, html_text, langid, minhash, packing, queries, sentence_spans, simple8b
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return compare.connection(sf_dir)
+
+
+@pytest.fixture(scope="module")
+def documents(con):
+    return con.execute("SELECT doc_id, text, lang FROM documents ORDER BY doc_id").fetchall()
+
+
+def test_exact_dedup(spark, sf_dir, con):
+    name = "op4_exact_dedup"
+    assert compare.compared(queries.QUERIES[name](spark, sf_dir), con, queries.ORACLES[name]) == ""
+
+
+def components(ids, links):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def near_links(sets, percent=80):
+    for (a, s), (b, t) in itertools.combinations(sets.items(), 2):
+        if s and t and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+            n = len(s & t)
+            if 100 * n >= percent * (len(s) + len(t) - n):
+                yield a, b
+
+
+def test_near(spark, sf_dir, documents):
+    sets = {i: minhash.word_set(t, 2) for i, t, _ in documents}
+    want = components(sets, near_links(sets))
+    got = queries.QUERIES["op7_circulant_minhash"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
+
+
+def test_near_in_a_dense_group(spark):
+    """A group of copies of one text with a growing number of edits: some link only to some."""
+    rng = np.random.default_rng(0)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = list(base)
+        for k in rng.choice(100, rng.integers(0, 14), replace=False):
+            w[k] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: minhash.word_set(t, 2) for i, t in rows}
+    want = components(sets, near_links(sets))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, words=2).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
+def words(text):
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+
+
+def overlapping(a, b, stretch=13, least=8):
+    w = min(stretch, len(b))
+    if len(b) < least:
+        return False
+    for shift in range(-len(b) + w, len(a) - w + 1):
+        same = [int(a[j + shift] == b[j]) for j in range(max(0, -shift), min(len(b), len(a) - shift))]
+        if any(100 * sum(same[k : k + w]) >= 80 * w for k in range(len(same) - w + 1)):
+            return True
+    return False
+
+
+def test_leaks(spark, sf_dir, con, documents):
+    items = [(i, words(t)) for i, t in con.execute("SELECT item_id, text FROM benchmark").fetchall()]
+    want = set()
+    for d, text, _ in documents:
+        a = words(text)
+        have = set(a)
+        want |= {(d, i) for i, b in items if len(have & set(b)) > 5 and overlapping(a, b)}
+    got = queries.QUERIES["op10_spaced_seeds"](spark, sf_dir).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("n,allowed", [(13, 2), (8, 1), (10, 1), (12, 1)])
+def test_masks_find_every_placement(n, allowed):
+    for bad in itertools.combinations(range(n), allowed):
+        assert any(all(s + p not in bad for p in m) for m in decontam.MASKS for s in range(n - decontam.SPAN + 1))
+
+
+def test_spans(spark, sf_dir, documents):
+    first, gone = {}, {}
+    for i, t, _ in documents:
+        for place, n, low, high in sentence_spans.runs(sentence_spans.sentences(t), 15, 40):
+            if (low, high) in first and first[low, high] != (i, place):
+                gone.setdefault(i, set()).update(range(place, place + n))
+            first.setdefault((low, high), (i, place))
+    text = {i: t for i, t, _ in documents}
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.QUERIES["op6_sentence_spans"](spark, sf_dir).collect()}
+    assert got == {i: (len(g), "".join(s for k, s in enumerate(sentence_spans.sentences(text[i])) if k not in g)) for i, g in gone.items()}
+
+
+@pytest.mark.parametrize("text", ["", "a", "a. b", "a.\n\n b!? c...d e. ", "\n\n", " . . ", "x" * 1000])
+def test_sentences_join_to_the_text(text):
+    assert "".join(sentence_spans.sentences(text)) == text
+
+
+def encoded(name, documents, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer(name))
+    t.encode_special_tokens = True
+    found = t.encode_batch([x or "" for _, x, _ in documents], add_special_tokens=False)
+    return {d: np.array([*e.ids, end], dtype="<u4") for (d, _, _), e in zip(documents, found)}
+
+
+def test_packing(spark, sf_dir, documents):
+    ids = encoded("byte_bpe_50k.json", documents, 0)
+    rows = queries.QUERIES["op5_cost_packing"](spark, sf_dir).collect()
+    seen = {d: 0 for d in ids}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == seen[r["doc_id"]] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        seen[r["doc_id"]] += r["length"]
+    assert all(seen[d] == len(x) for d, x in ids.items())
+    size = {}
+    for r in rows:
+        size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
+    assert all(n == 1024 or n & (n - 1) == 0 for n in size.values())
+
+
+def test_packing_balances_cost():
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 1024, 400)
+    placed = packing.assign(n, 1024, 1.0, 1 / 1024)
+    cost = [sum(k + k * k / 1024 for _, _, k in parts) for parts in placed]
+    assert len(placed) == -(-int(n.sum()) // 1024) and sum(k for parts in placed for _, _, k in parts) == n.sum()
+    order = [sum(k + k * k / 1024 for k in chunk) for chunk in np.array_split(n, len(placed))]
+    assert np.std(cost[:-1]) < np.std(order)
+
+
+def test_token_files(spark, sf_dir, documents):
+    ids = encoded("word_bpe_49k.json", documents, 2)
+    rows = sorted(queries.QUERIES["op8_simple8b"](spark, sf_dir).collect(), key=lambda r: r["doc_id"])
+    at = 0
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(x), zlib.crc32(x.tobytes()))
+        at += len(x)
+    assert len(rows) == len(ids)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_simple8b_round_trip(seed):
+    import io
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    many = [np.array([int(x) % (1 << int(b)) if b < 64 else int(x) for x, b in zip(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2), rng.integers(0, 65 if seed % 2 else 3, n))], dtype=np.uint64) for n in rng.integers(0, 2500, 8)]
+
+    class Sink(io.BytesIO):
+        def close(self):
+            self.done = self.getvalue()
+
+    sink = Sink()
+    w = simple8b.Writer(sink)
+    for k, x in enumerate(many):
+        w.add(k, x)
+    w.close()
+    back = list(simple8b.read_documents(pa.BufferReader(sink.done), blocks_at_once=2))
+    assert [k for k, _ in back] == list(range(len(many)))
+    assert all(np.array_equal(np.concatenate(p) if p else np.zeros(0), x) for (_, p), x in zip(back, many))
+
+
+def test_warc(spark, sf_dir, con):
+    rows = con.execute("SELECT page_id, html FROM pages").fetchall()
+    first = {}
+    for i, h in sorted(rows):
+        first.setdefault(h or "", i)
+    want = {}
+    for i, h in rows:
+        data = (h or "").encode()
+        own = first[h or ""] == i
+        want[i] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if own else "revisit", None if own else first[h or ""])
+    got = queries.QUERIES["op1_warc_index"](spark, sf_dir).collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == want
+
+
+def test_articles(spark, sf_dir, con):
+    """The tables' pages have one article of headings and paragraphs."""
+
+    def plain(h):
+        m = re.search(r"<article>(.*?)(?:</article>|\Z)", h or "", re.S)
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", m[1].replace("<br>", " "))) if m else []
+        return "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
+
+    want = {i: plain(h) for i, h in con.execute("SELECT page_id, html FROM pages").fetchall()}
+    got = queries.QUERIES["op2_template_removal"](spark, sf_dir).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_site_template(spark):
+    """Subtrees that recur on a host go even where no name gives them away."""
+    box = "<div class='x1'><p>All rights of this site belong to its owner</p><div><span>Visit us</span></div></div>"
+    pages = [(k, f"http://a.org/{k}", f"<body>{box}<div><p>Page {k} says &quot;{k * k}&quot;</p></div><div>only {k}</div></body>") for k in range(8)]
+    pages += [(9, "http://b.org/9", f"<body>{box}<p>Other</p></body>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got[3] == 'Page 3 says "9"\nonly 3'
+    assert got[9] == "All rights of this site belong to its owner\nVisit us\nOther"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<script>var a='<p>no</p>'</script><p>yes", "yes"),
+        ("<p>a<p>b<br>c<li>d", "a\nb c\nd"),
+        ("<ul><li>a<li>b</ul>c", "a\nb\nc"),
+        ("<p>1 &lt; 2 &amp;&nbsp;3&#33;</p>", "1 < 2 & 3!"),
+        ("<article><p>in</p><div class='comments'><p>me too</p></div></article><p>out</p>", "in"),
+        ("<body><header>top</header><main><h1>T</h1>x <b>y</b>z</main><aside>s</aside></body>", "T\nx yz"),
+        ("<p>cut <a href='/x", "cut"),
+        ("<!-- <p>no</p> --><form>f</form><p title='a>b'>ok</p>", "ok"),
+        ("<style>p{}</style", ""),
+    ],
+)
+def test_html_cases(page, text):
+    assert html_text.main_text(page, set()) == text
+
+
+def test_language_held_out(spark, sf_dir, documents):
+    lang = {d: x for d, _, x in documents}
+    rows = [r for r in queries.QUERIES["op3_language_id"](spark, sf_dir).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert len(rows) > 20
+    assert np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in rows]) >= 0.95
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_bloom_filter_has_no_misses():
+    model = langid.Model(("a", "b"), (1, 1), np.zeros(1 << 12, dtype=np.uint64), np.zeros(2), 3, (3,))
+    grams = langid.gram_hashes("some words of a language", (3,))
+    for at in model.positions(grams):
+        model.slots[at.astype(np.int64)] |= np.uint64(2)
+    assert np.all(model.masks(grams) & np.uint64(2))
+
+
+def test_secret_forest_on_fresh_findings(spark):
+    from framewright.llm import secrets
+
+    rows = [(k, t, s) for k, (t, s) in enumerate(secrets.labelled_findings(400, seed=99))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, secret int")
+    got = {}
+    for r in secrets.findings(df).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], False) or r["is_secret"]
+    truth = {k: bool(s) for k, _, s in rows if k in got}
+    assert np.mean([got[k] == truth[k] for k in got]) >= 0.9
+
+
+def test_pipeline(spark, sf_dir, con, documents):
+    import corpus_pipeline as P
+
+    assert [n for n, _ in P.STAGES] == ["language", "exact", "near", "leaks", "packing"]
+    text = {d: t or "" for d, t, _ in documents}
+    left = {d for d, t in text.items() if any(map(str.isalpha, t))}
+    best = {}
+    for d in sorted(left, key=lambda d: (-len(text[d]), d)):
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text[d]), d)
+    left = set(best.values())
+    sets = {d: minhash.word_set(text[d], 5) for d in sorted(left)}
+    root = components(sets, near_links(sets))
+    left = {d for d in left if root[d] == d}
+    items = [words(t) for (t,) in con.execute("SELECT text FROM benchmark").fetchall()]
+    for d in list(left):
+        a = words(text[d])
+        if any(len(set(a) & set(b)) > 5 and overlapping(a, b) for b in items):
+            left.discard(d)
+    ids = encoded("byte_bpe_50k.json", documents, 0)
+    got = {}
+    for r in P.run(spark, sf_dir).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {d: len(ids[d]) for d in left}
