@@ -1,10 +1,12 @@
 """Removal of repeated passages by sliding runs of sentences.
 
-A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line break. Every run of
-three consecutive sentences with at least ``least`` words (and of two, with ``pair_words``)
-is hashed to 128 bits, upper and lower case and white space aside. The hashes are joined
-over the whole corpus: of equal runs the first, by document id and position, stays, and all
-sentences that any other one covers are removed.
+A sentence ends at ``.``, ``!`` or ``?`` before white space, at a line break, or after
+twenty words. Every run of three consecutive sentences is hashed to 128 bits, upper and
+lower case and white space aside; where three have fewer than ``least`` words, the run is
+longer, from its first sentence on or up to its last. So each passage of over 50 words that
+begins with a sentence is made of such runs. The hashes are joined over the whole corpus: of
+equal runs the first, by document id and position, stays, and all sentences that any other
+one covers are removed.
 
 A run shared by very many documents is combined before the aggregation's shuffle, and is a
 skewed equi-join afterwards, which adaptive execution splits; what is collected per document
@@ -18,9 +20,9 @@ gives an empty result; further columns are ignored by ``repeats`` and kept by ``
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,27 +30,53 @@ from pyspark.sql import functions as F
 
 from framewright.llm.storage import written
 
+#: Words of a sentence at most.
+LONGEST = 20
 #: Sentences with the white space that follows, so that they join to the text again.
 _SENTENCE = re.compile(r"\s*(?:[^\n.!?]|[.!?]+(?=[^\s.!?]))*(?:[.!?]+|\n|\Z)[^\S\n]*\n*")
+_WORDS = re.compile(r"\s*(?:\S+\s+){%d}(?=\S)" % LONGEST)
 
 
 def sentences(text: str | None) -> list[str]:
     """Pieces of the text, in order and without a rest."""
-    return [s for s in _SENTENCE.findall(text or "") if s]
+    out = []
+    for s in _SENTENCE.findall(text or ""):
+        at = 0
+        if len(s) > 2 * LONGEST:
+            while m := _WORDS.match(s, at):
+                out.append(s[at : m.end()])
+                at = m.end()
+        if at < len(s):
+            out.append(s[at:])
+    return out
 
 
-def runs(pieces: list[str], least: int, pair_words: int) -> list[tuple[int, int, int, int]]:
-    """(place, number of sentences, two 64-bit hashes) of each run."""
+def runs(pieces: list[str], least: int, several: int = 3) -> list[tuple[int, int, int, int]]:
+    """(place, number of pieces, two 64-bit hashes) of each run."""
     own = [s.lower().split() for s in pieces]
     places = [k for k, w in enumerate(own) if w]  # white space alone is no sentence
+    n = len(places)
+    upto = [0]
+    for k in places:
+        upto.append(upto[-1] + len(own[k]))
+    found, end, start = set(), 0, 0
+    for j in range(n):  # the shortest run that begins here
+        end = max(end, j + several)
+        while end <= n and upto[end] - upto[j] < least:
+            end += 1
+        if end > n:
+            break
+        found.add((j, end))
+    for e in range(several, n + 1):  # the shortest run that ends here
+        while start + 1 <= e - several and upto[e] - upto[start + 1] >= least:
+            start += 1
+        if upto[e] - upto[start] >= least:
+            found.add((start, e))
     hashed = [xxhash.xxh3_128_digest(" ".join(own[k])) for k in places]
     out = []
-    for j in range(len(places) - 1):
-        for size, enough in ((2, pair_words), (3, least)):
-            if j + size <= len(places) and sum(len(own[k]) for k in places[j : j + size]) >= enough:
-                h = xxhash.xxh3_128_digest(b"".join(hashed[j : j + size]))
-                low, high = np.frombuffer(h, dtype="<i8")
-                out.append((places[j], places[j + size - 1] - places[j] + 1, int(low), int(high)))
+    for j, e in sorted(found):
+        low, high = struct.unpack("<qq", xxhash.xxh3_128_digest(b"".join(hashed[j:e])))
+        out.append((places[j], places[e - 1] - places[j] + 1, low, high))
     return out
 
 
@@ -56,14 +84,14 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def repeated_places(docs: DataFrame, id_col: str, text_col: str, least: int, pair_words: int) -> DataFrame:
+def repeated_places(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """``id, row, places``: for each document the places of the sentences that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc, row, *r) for r in runs(sentences(text), least, pair_words)]
+                rows += [(doc, row, *r) for r in runs(sentences(text), least)]
                 if len(rows) >= 50_000:
                     yield _spans(rows)
                     rows = []
@@ -107,18 +135,18 @@ def _without(text: Column, places: Column) -> Column:
     return remove(text, places)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 15, pair_words: int = 40) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 15) -> DataFrame:
     """One row per document that loses sentences: id, ``n_sentences, n_removed`` and the
     ``text`` that is left."""
-    places = repeated_places(docs, id_col, text_col, least, pair_words)
+    places = repeated_places(docs, id_col, text_col, least)
     rows = docs.select(_key(id_col, text_col).alias("row"), F.col(text_col).alias("_text"))
     done = places.join(rows, "row").select("id", _without(F.col("_text"), F.col("places")).alias("_d"))
     return done.select(F.col("id").alias(id_col), "_d.n_sentences", "_d.n_removed", "_d.text")
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 15, pair_words: int = 40) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 15) -> DataFrame:
     """``docs`` with all its columns and rows, repeated sentences removed from the text."""
-    places = repeated_places(docs, id_col, text_col, least, pair_words).select(F.col("row").alias("_row"), "places")
+    places = repeated_places(docs, id_col, text_col, least).select(F.col("row").alias("_row"), "places")
     joined = docs.join(places, _key(id_col, text_col) == F.col("_row"), "left")
     text = F.when(F.col("places").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("places"))["text"])
     return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

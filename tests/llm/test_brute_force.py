@@ -111,7 +111,7 @@ def test_masks_find_every_placement(n, allowed):
 def test_spans(spark, sf_dir, documents):
     first, gone = {}, {}
     for i, t, _ in documents:
-        for place, n, low, high in sentence_spans.runs(sentence_spans.sentences(t), 15, 40):
+        for place, n, low, high in sentence_spans.runs(sentence_spans.sentences(t), 15):
             if (low, high) in first and first[low, high] != (i, place):
                 gone.setdefault(i, set()).update(range(place, place + n))
             first.setdefault((low, high), (i, place))
@@ -120,7 +120,23 @@ def test_spans(spark, sf_dir, documents):
     assert got == {i: (len(g), "".join(s for k, s in enumerate(sentence_spans.sentences(text[i])) if k not in g)) for i, g in gone.items()}
 
 
-@pytest.mark.parametrize("text", ["", "a", "a. b", "a.\n\n b!? c...d e. ", "\n\n", " . . ", "x" * 1000])
+def test_every_passage_is_made_of_runs():
+    """A passage of over 50 words is covered whole, whatever its sentences and surroundings."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        kinds = [int(rng.choice([1, 2, 7, 20, 33, 70])) for _ in range(40)]
+        passage = ""
+        while len(passage.split()) <= 50:
+            passage += " ".join(f"p{rng.integers(99)}" for _ in range(kinds.pop())) + rng.choice([". ", "! ", ".\n"])
+        some = lambda: " ".join(f"q{rng.integers(10**9)}" for _ in range(int(rng.integers(3, 30))))
+        texts = [f"{some()}.\n{passage}{some()}. {some()}" for _ in range(2)]
+        pieces = [sentence_spans.sentences(t) for t in texts]
+        seen = {r[2:] for r in sentence_spans.runs(pieces[0], 15)}
+        gone = {k for p, n, low, high in sentence_spans.runs(pieces[1], 15) if (low, high) in seen for k in range(p, p + n)}
+        assert "".join(pieces[1][k] for k in sorted(gone)).split() == passage.split()
+
+
+@pytest.mark.parametrize("text", ["x y " * 70, "", "a", "a. b", "a.\n\n b!? c...d e. ", "\n\n", " . . ", "x" * 1000])
 def test_sentences_join_to_the_text(text):
     assert "".join(sentence_spans.sentences(text)) == text
 
