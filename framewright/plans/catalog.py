@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-from framewright.plans import axis_queries, diarize, measure_queries, model_queries, signal_queries, stream_queries  # noqa: F401
+from framewright.plans import (  # noqa: F401
+    axis_queries,
+    diarize,
+    measure_queries,
+    model_queries,
+    signal_queries,
+    stream_queries,
+    update_queries,
+)
 from framewright.plans.base import ORACLES, QUERIES  # noqa: F401
