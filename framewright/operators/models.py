@@ -164,16 +164,29 @@ def gaussian(rows: DataFrame, x: str, keys: list[str], dims: int) -> DataFrame:
     return one
 
 
-def best_split(rows: DataFrame, x: str, label: str, weight: str) -> DataFrame:
+def best_split(rows: DataFrame, x: str, label: str, weight: str, bins: int = 1024) -> DataFrame:
     """Decision stump on one feature: prefix sums of class weights over the sorted distinct
-    values, thresholds half way to the next value; the least error, then the lowest."""
+    values, thresholds half way to the next value; the least error, then the lowest. Sums
+    run inside bins of the feature's range, on top of those of the bins before, so that no
+    task sorts all values."""
     one = rows.groupBy(F.col(x).alias("v")).agg(
         F.sum(F.when(F.col(label) > 0, F.col(weight)).otherwise(0.0)).alias("p"),
         F.sum(F.when(F.col(label) > 0, 0.0).otherwise(F.col(weight))).alias("q"),
     )
-    w = Window.orderBy("v")  # distinct values, already aggregated
-    low = one.select(
-        "v", F.lead("v").over(w).alias("next"), F.sum("p").over(w).alias("lp"), F.sum("q").over(w).alias("lq")
+    span = F.broadcast(one.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # one row
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (bins - 1))).otherwise(F.lit(0))
+    placed = one.join(span).withColumn("b", place)
+    up = Window.orderBy("b")  # at most a row a bin
+    tops = placed.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"), F.min("v").alias("first"))
+    tops = tops.select(
+        "b", (F.sum("bp").over(up) - F.col("bp")).alias("op"), (F.sum("bq").over(up) - F.col("bq")).alias("oq"), F.lead("first").over(up).alias("after")
+    )
+    w = Window.partitionBy("b").orderBy("v")
+    low = placed.join(F.broadcast(tops), "b").select(
+        "v",
+        F.coalesce(F.lead("v").over(w), F.col("after")).alias("next"),
+        (F.col("op") + F.sum("p").over(w)).alias("lp"),
+        (F.col("oq") + F.sum("q").over(w)).alias("lq"),
     )
     total = one.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
     cand = low.filter("next is not null").join(F.broadcast(total))

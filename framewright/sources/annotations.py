@@ -79,7 +79,7 @@ def read_cuts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parameters(spark: SparkSession, path: str) -> dict[str, str]:
-    """``key=value`` lines without comments; the last of a key holds. A small file."""
+    """``key=value`` lines without comments; the last of a key holds."""
     rows = _lines(spark, path).filter(~F.col("line").rlike(r"^\s*[#;]")).select("line_no", key_value(F.col("line")).alias("p"))
     found = rows.filter("p is not null").select("line_no", "p.*").groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
-    return {r["key"]: r["value"] for r in found.limit(10_000).collect()}
+    return {r["key"]: r["value"] for r in found.collect()}
