@@ -33,8 +33,8 @@ from framewright.llm.storage import written
 #: Words of a sentence at most.
 LONGEST = 20
 #: Sentences with the white space that follows, so that they join to the text again.
-_SENTENCE = re.compile(r"\s*(?:[^\n.!?]|[.!?]+(?=[^\s.!?]))*(?:[.!?]+|\n|\Z)[^\S\n]*\n*")
-_WORDS = re.compile(r"\s*(?:\S+\s+){%d}(?=\S)" % LONGEST)
+_SENTENCE = re.compile(r"\s*(?:[^\n.!?]++|[.!?]++(?=\S))*+(?:[.!?]+|\n|\Z)[^\S\n]*\n*")
+_WORDS = re.compile(r"\s*(?:\S++\s++){%d}(?=\S)" % LONGEST)
 
 
 def sentences(text: str | None) -> list[str]:
