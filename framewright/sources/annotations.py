@@ -83,3 +83,16 @@ def read_parameters(spark: SparkSession, path: str) -> dict[str, str]:
     rows = _lines(spark, path).filter(~F.col("line").rlike(r"^\s*[#;]")).select("line_no", key_value(F.col("line")).alias("p"))
     found = rows.filter("p is not null").select("line_no", "p.*").groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
     return {r["key"]: r["value"] for r in found.collect()}
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """``scene segment file`` lines of explicit models; 0 stands for any scene or segment."""
+    parts = F.split(F.trim("line"), r"\s+")
+    rows = _lines(spark, path).filter(F.col("line").rlike(r"^\s*[0-9]+\s+[0-9]+\s+\S"))
+    return rows.select(parts[0].cast("long").alias("scene"), parts[1].cast("long").alias("segment"), parts[2].alias("model"))
+
+
+def read_labelled_files(spark: SparkSession, path: str) -> DataFrame:
+    """Lists of signal files whose one label is the list's own name: ``path, label``."""
+    name = F.regexp_extract("file", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    return _lines(spark, path).filter(F.trim("line") != "").select(F.trim("line").alias("path"), name.alias("label"))

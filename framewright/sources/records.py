@@ -58,3 +58,21 @@ def video_results(frames: DataFrame, keys: list[str], pos: str, per_video_frame:
     counted = frames.filter(F.col(speaker) != L.NO_SPEAKER).groupBy(*keys, slot, speaker).agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy(*keys, "video_frame").agg(F.max_by(speaker, F.struct(F.col("n"), -F.col(speaker))).alias(speaker))
     return masks.join(best, [*keys, "video_frame"], "left").na.fill(L.NO_SPEAKER, [speaker])
+
+
+def segment_statistics(frames: DataFrame, segment: str, wanted: int, keys: list[str], step: int = 1) -> DataFrame:
+    """Gross and net length of each segment, in samples: all frames, and those with the
+    wanted labels."""
+    hit = L.has_any(F.col("mask"), wanted)
+    return frames.groupBy(*keys, segment).agg((F.count(F.lit(1)) * step).alias("gross"), (F.count_if(hit) * step).alias("net"))
+
+
+def export_by_speaker(frames: DataFrame, path: str, speaker: str = "speaker") -> None:
+    """Voiced speech frames, without pauses, in a folder for each speaker."""
+    kept = L.matches(F.col("mask"), L.MASK["speech"] | L.MASK["voiced"], unite=True, without=L.MASK["pause"])
+    frames.filter(kept & (F.col(speaker) != L.NO_SPEAKER)).write.mode("overwrite").partitionBy(speaker).parquet(path)
+
+
+def write_report(scores: DataFrame, path: str) -> None:
+    """Scores, which are few rows, as one text file with a header."""
+    scores.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

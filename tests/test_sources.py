@@ -75,3 +75,18 @@ def test_video_results(spark):
     got = [tuple(r) for r in C.video_results(df, [], "fli", 2).orderBy("video_frame").collect()]
     assert got == [(0, 1, 1), (1, 1, -1)]
     assert C.analysis_columns(df).select(F.sum("noise")).first()[0] == 4
+
+
+def test_lists_and_exports(spark, tmp_path):
+    (tmp_path / "models.txt").write_text("# explicit\n0 2 a.gmm\n1 0 b.gmm\n")
+    assert [tuple(r) for r in A.read_models(spark, str(tmp_path / "models.txt")).collect()] == [(0, 2, "a.gmm"), (1, 0, "b.gmm")]
+    (tmp_path / "music.lst").write_text("x.wav\n\ny.wav\n")
+    assert [tuple(r) for r in A.read_labelled_files(spark, str(tmp_path / "music.lst")).collect()] == [("x.wav", "music"), ("y.wav", "music")]
+    rows = [(1, 0, 5120, 3), (1, 0, 5120 + 2048, 3), (1, 1, 1024, 4), (1, 1, 5120, -1)]
+    df = spark.createDataFrame(rows, "f int, segment int, mask int, speaker int")
+    got = sorted(tuple(r) for r in C.segment_statistics(df, "segment", 4096, ["f"], step=10).collect())
+    assert got == [(1, 0, 20, 20), (1, 1, 20, 10)]
+    C.export_by_speaker(df, str(tmp_path / "by"))
+    assert [r["speaker"] for r in spark.read.parquet(str(tmp_path / "by")).collect()] == [3]
+    C.write_report(df.groupBy("f").count(), str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 1
