@@ -28,8 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.storage import written
+
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
@@ -68,10 +70,10 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("name", "marked", "article", "inside", "start", "end", "parts")
+    __slots__ = ("name", "marked", "article", "inside", "start", "end", "parts", "parent")
 
-    def __init__(self, name: str, marked: bool, inside: bool, start: int):
-        self.name, self.marked, self.inside, self.start = name, marked, inside, start
+    def __init__(self, name: str, marked: bool, inside: bool, start: int, parent: int):
+        self.name, self.marked, self.inside, self.start, self.parent = name, marked, inside, start, parent
         self.article = name in ("article", "main")
         self.end, self.parts = start, [name]
 
@@ -164,7 +166,7 @@ def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
             continue
         if len(stack) >= DEPTH:
             continue
-        elements.append(Element(name, _marked(name, m[3], inside > 0), inside > 0, len(items)))
+        elements.append(Element(name, _marked(name, m[3], inside > 0), inside > 0, len(items), stack[-1] if stack else -1))
         hashes.append(0)
         stack.append(len(elements) - 1)
         inside += elements[-1].article
@@ -177,18 +179,26 @@ def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
 
 def countable(elements: list[Element], hashes: list[int]) -> list[int]:
     """Hashes of the subtrees that can be a template: with text, no article around or
-    below that would go with them, no page roots, and in articles no content elements."""
+    below that would go with them, no page roots, and in articles no content elements. An
+    element that is all its parent holds recurs with it, and isn't counted beside it."""
     holds = [False] * len(elements)
     for k, e in enumerate(elements):
         if e.article and not e.marked and not e.inside:
             for j in range(k + 1):
                 if elements[j].start <= e.start and elements[j].end >= e.end:
                     holds[j] = True
+    own = [
+        bool(h)
+        and not holds[k]
+        and e.name not in ("html", "body")
+        and not (e.inside and (e.name in CONTENT or e.name in INLINE or e.name == "li"))
+        for k, (e, h) in enumerate(zip(elements, hashes))
+    ]
     out = set()
     for k, e in enumerate(elements):
-        if hashes[k] and not holds[k] and e.name not in ("html", "body"):
-            if not (e.inside and (e.name in CONTENT or e.name in INLINE or e.name == "li")):
-                out.add(hashes[k])
+        alone = e.parent >= 0 and own[e.parent] and len(elements[e.parent].parts) == 2
+        if own[k] and not alone:
+            out.add(hashes[k])
     return list(out)
 
 
@@ -223,26 +233,27 @@ def host_of(url: Column) -> Column:
 
 
 def templates(rows: DataFrame, many: int) -> DataFrame:
-    """``host, page, subtree`` for each page's subtrees that belong to its host's template;
-    ``rows`` has ``host`` and ``page`` (64-bit hashes) and ``html``."""
+    """``page, subtree`` for each page's subtrees that belong to its host's template;
+    ``rows`` has ``host`` and ``page`` (64-bit hashes, of the page with its host) and
+    ``html``. Pages are parsed once for this; what they hold is written as two hashes a
+    subtree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, page, sub = [], [], []
+            page, sub, key = [], [], []
             for h, p, html in zip(*(c.to_pylist() for c in batch.columns)):
                 elements, hashes, _ = parse(html)
                 found = countable(elements, hashes)
-                host += [h] * len(found)
                 page += [p] * len(found)
                 sub += found
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.int64()), pa.array(page, pa.int64()), pa.array(np.array(sub, np.uint64).astype(np.int64))],
-                names=["host", "page", "subtree"],
-            )
+                key += [xxhash.xxh3_64_intdigest(f"{h}/{x}") for x in found]
+            signed = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (sub, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), *signed], names=["page", "subtree", "key"])
 
-    found = rows.select("host", "page", "html").mapInArrow(run, "host bigint, page bigint, subtree bigint").distinct()
-    often = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= many)
-    return found.join(often.select("host", "subtree"), ["host", "subtree"])
+    found = written(rows.select("host", "page", "html").mapInArrow(run, "page bigint, subtree bigint, key bigint"), "subtrees")
+    pages = found.groupBy("key", "page").agg(F.lit(1).alias("one"))
+    often = pages.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= many)
+    return found.join(often.select("key"), "key").select("page", "subtree")
 
 
 def extract(
@@ -254,10 +265,10 @@ def extract(
         F.col(id_col).alias("_id"),
         F.col(url_col).alias("_url"),
         F.xxhash64(host_of(F.col(url_col))).alias("host"),
-        F.xxhash64(html).alias("page"),
+        F.xxhash64(host_of(F.col(url_col)), html).alias("page"),
         html.alias("html"),
     )
-    own = templates(rows, many).groupBy("host", "page").agg(F.collect_list("subtree").alias("subtrees"))
+    own = templates(rows, many).groupBy("page").agg(F.collect_set("subtree").alias("subtrees"))
 
     @F.pandas_udf("string")
     def text(html, subtrees):
@@ -269,7 +280,7 @@ def extract(
             out.append(main_text(h, known))
         return pd.Series(out)
 
-    done = rows.join(own, ["host", "page"], "left").select("_id", "_url", text("html", "subtrees").alias("text"))
+    done = rows.drop("host").join(own, "page", "left").select("_id", "_url", text("html", "subtrees").alias("text"))
     return done.select(
         F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")
     )
