@@ -49,7 +49,9 @@ def seeds(table: DataFrame, id_col: str, text_col: str, name: str, least: int) -
     """``{name}, {name}_at, seed`` for each window and mask of texts of ``least`` words."""
     hashed = table.select(
         F.col(id_col).alias(name), F.transform(word_list(F.col(text_col)), lambda w: F.xxhash64(w)).alias("_h")
-    ).filter(F.size("_h") >= least)
+    )
+    if least > SPAN:  # on the way of all documents a filter would hash them a second time
+        hashed = hashed.filter(F.size("_h") >= least)
     rows = hashed.select(name, (F.size("_h") - (SPAN - 1)).alias("_c"), F.posexplode(windows(F.col("_h"))).alias("_p", "seed"))
     return rows.select(name, (F.col("_p") % F.col("_c")).alias(f"{name}_at"), "seed")
 
