@@ -1,9 +1,10 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are runs of at least 16 key characters with a digit, found word by word. Each is
-described by its length, its kinds of characters and how often they change, the share of it
-that dictionary words cover, whether it looks like part of a path or address, and the words
-around it. A random forest trained from labelled findings gives the probability of a secret;
+Candidates are runs of at least 16 key characters with a digit, all of them, found word by
+word. Each is described by its length, its kinds of characters and how often they change, the
+share of it that dictionary words cover, whether it looks like part of a path or address, and
+what is around it: the words before, and in its own word the text from the end of the last run
+but one before it up to the next one. A random forest trained from labelled findings gives the probability of a secret;
 its trees are applied as conditional expressions. Everything on the main path is a DataFrame
 function.
 
@@ -45,7 +46,8 @@ FEATURES = ["length", "digits", "uppers", "lowers", "hexes", "changes", "covered
 
 def candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` without the text, a row per candidate: its word's ``place``, ``candidate``,
-    ``word`` and the ``around`` words, lower case."""
+    what is ``before`` it in the word, the part of the ``word`` around it and the ``around``
+    words, lower case."""
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     kept = [c for c in rows.columns if c != text]
     listed = rows.select(*[F.col(f"`{c}`") for c in kept], words.alias("_w"))
@@ -64,8 +66,19 @@ def candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     # no filter on the array: pushed down, it would split the text anew for every word
     one = listed.select(*[F.col(f"`{c}`") for c in kept], F.explode(found).alias("_f"))
     one = one.select(*[F.col(f"`{c}`") for c in kept], "_f.*")
-    one = one.withColumn("candidate", F.regexp_extract("word", f"({_KEY})", 1))
-    return one.filter(F.col("candidate").rlike("[0-9]"))
+    # every run of the word, and the text between them: one more piece than there are runs
+    pieces = one.withColumns({"_runs": F.regexp_extract_all("word", F.lit(f"({_KEY})"), F.lit(1)), "_gaps": F.split("word", _KEY)})
+    runs = F.transform(
+        "_runs",
+        lambda r, i: F.struct(
+            r.alias("candidate"),
+            F.concat_ws("", F.get("_gaps", i - 1), F.get("_runs", i - 1), F.get("_gaps", i)).alias("before"),
+            F.get("_gaps", i + 1).alias("_after"),
+        ),
+    )
+    each = pieces.select(*[F.col(f"`{c}`") for c in kept], "place", "around", F.explode(runs).alias("_r"))
+    each = each.select(*[F.col(f"`{c}`") for c in kept], "place", "around", "_r.*").filter(F.col("candidate").rlike("[0-9]"))
+    return each.withColumn("word", F.concat("before", "candidate", "_after")).drop("_after")
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -75,7 +88,7 @@ def described(found: DataFrame) -> DataFrame:
     kinds = F.translate(c, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")).cast("double")
     bare = F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")
-    around = F.concat(F.col("around"), F.lit(" "), F.lower(F.expr("substring_index(word, candidate, 1)")))
+    around = F.concat(F.col("around"), F.lit(" "), F.lower(F.col("before")))
     has = lambda words: around.rlike(r"(?<![a-z])(?:%s)(?![a-z])" % "|".join(words)).cast("double")
     return found.select(
         "*",
