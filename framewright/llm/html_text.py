@@ -2,13 +2,16 @@
 
 Every page is parsed into elements. An element's subtree is hashed from its name, text and
 children. Spark counts, per host, on how many different pages a subtree occurs; one that
-recurs on ``many`` or more is part of the site's template and is deleted, with all below
-it. Pages with the same html count once, so copies of a page are no template.
+recurs on ``many`` or more, and on at least ``share`` of the host's pages, is part of the
+site's template and is deleted, with all below it. Pages with the same html count once, so
+copies of a page are no template. A page that would keep less than a fifth of its text
+without its templates is a near copy of others: they are its body, and it keeps them.
 
 What is kept is the article: the ``article`` or ``main`` elements if there are any, else the
 body. Besides the templates, elements whose name, role, class or id says that they are menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go.
-Headings and paragraphs inside an article are content, however often they recur.
+Headings, paragraphs, list items, cells and parts of a line are content, however often they
+recur by themselves.
 
 Defined results: a null html is empty, and gives an empty text; a page without an article
 or body is one block of its text; rows with equal html on one host get equal texts; null
@@ -66,6 +69,8 @@ MARKS = frozenset(
 )
 #: Elements that are nested deeper are taken as part of the one around them.
 DEPTH = 512
+#: The share of a page's text that is left without its templates, at least.
+LEAST = 0.2
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -179,7 +184,7 @@ def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
 
 def countable(elements: list[Element], hashes: list[int]) -> list[int]:
     """Hashes of the subtrees that can be a template: with text, no article around or
-    below that would go with them, no page roots, and in articles no content elements. An
+    below that would go with them, no page roots and no content elements. An
     element that is all its parent holds recurs with it, and isn't counted beside it."""
     holds = [False] * len(elements)
     for k, e in enumerate(elements):
@@ -191,7 +196,7 @@ def countable(elements: list[Element], hashes: list[int]) -> list[int]:
         bool(h)
         and not holds[k]
         and e.name not in ("html", "body")
-        and not (e.inside and (e.name in CONTENT or e.name in INLINE or e.name == "li"))
+        and not (e.name in CONTENT or e.name in INLINE or e.name == "li")
         for k, (e, h) in enumerate(zip(elements, hashes))
     ]
     out = set()
@@ -212,9 +217,17 @@ def main_text(html: str, template: set[int]) -> str:
         for e in elements:
             if e.article and not e.marked and not e.inside:
                 keep[e.start : e.end] = True
-    for e, h in zip(elements, hashes):
-        if e.marked or h in allowed:
+    for e in elements:
+        if e.marked:
             keep[e.start : e.end] = False
+    if allowed:
+        left = keep.copy()
+        for e, h in zip(elements, hashes):
+            if h in allowed:
+                left[e.start : e.end] = False
+        size = np.array([len("".join(value.split())) for _, value in items], dtype=np.int64)
+        if LEAST * size[keep].sum() <= size[left].sum():
+            keep = left
     blocks, now = [], []
     for (_, value), ok in zip(items, keep):
         if value == "" or not ok:
@@ -232,7 +245,7 @@ def host_of(url: Column) -> Column:
     return F.lower(found)
 
 
-def templates(rows: DataFrame, many: int) -> DataFrame:
+def templates(rows: DataFrame, many: int, share: float) -> DataFrame:
     """``page, subtree`` for each page's subtrees that belong to its host's template;
     ``rows`` has ``host`` and ``page`` (64-bit hashes, of the page with its host) and
     ``html``. Pages are parsed once for this; what they hold is written as two hashes a
@@ -240,24 +253,29 @@ def templates(rows: DataFrame, many: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, sub, key = [], [], []
+            host, page, sub, key = [], [], [], []
             for h, p, html in zip(*(c.to_pylist() for c in batch.columns)):
                 elements, hashes, _ = parse(html)
                 found = countable(elements, hashes)
+                host += [h] * len(found)
                 page += [p] * len(found)
                 sub += found
                 key += [xxhash.xxh3_64_intdigest(f"{h}/{x}") for x in found]
             signed = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (sub, key)]
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), *signed], names=["page", "subtree", "key"])
+            whole = [pa.array(x, pa.int64()) for x in (host, page)]
+            yield pa.RecordBatch.from_arrays([*whole, *signed], names=["host", "page", "subtree", "key"])
 
-    found = written(rows.select("host", "page", "html").mapInArrow(run, "page bigint, subtree bigint, key bigint"), "subtrees")
-    pages = found.groupBy("key", "page").agg(F.lit(1).alias("one"))
-    often = pages.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= many)
-    return found.join(often.select("key"), "key").select("page", "subtree")
+    schema = "host bigint, page bigint, subtree bigint, key bigint"
+    found = written(rows.select("host", "page", "html").mapInArrow(run, schema), "subtrees")
+    pages = found.groupBy("key", "page").agg(F.first("host").alias("host"))
+    often = pages.groupBy("key").agg(F.count(F.lit(1)).alias("pages"), F.first("host").alias("host")).filter(F.col("pages") >= many)
+    hosts = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    often = often.join(hosts, "host").filter(F.col("pages") >= F.col("all") * share)
+    return found.select("page", "subtree", "key").join(often.select("key"), "key").select("page", "subtree")
 
 
 def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 5
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 5, share: float = 0.3
 ) -> DataFrame:
     """One row per page: id, url, ``text`` and ``n_chars``."""
     html = F.coalesce(F.col(html_col), F.lit(""))
@@ -268,7 +286,7 @@ def extract(
         F.xxhash64(host_of(F.col(url_col)), html).alias("page"),
         html.alias("html"),
     )
-    own = templates(rows, many).groupBy("page").agg(F.collect_set("subtree").alias("subtrees"))
+    own = templates(rows, many, share).groupBy("page").agg(F.collect_set("subtree").alias("subtrees"))
 
     @F.pandas_udf("string")
     def text(html, subtrees):

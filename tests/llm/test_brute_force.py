@@ -247,6 +247,19 @@ def test_site_template(spark):
     assert got[9] == "All rights of this site belong to its owner\nVisit us\nOther"
 
 
+def test_recurring_content_is_no_template(spark):
+    """Neither what recurs on few of a host's pages, nor content elements, nor near copies' bodies go."""
+    some = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    box = "<div><p>All rights of this site</p></div>"
+    few = [(k, f"http://a.org/{k}", f"<body>{box}<div><p>{some(k)}</p></div>{'<div><p>Only a few</p></div>' if k < 6 else ''}<h2>Summary</h2></body>") for k in range(40)]
+    body = f"<div><h1>Title</h1><div><p>{some('a')}</p></div><div><p>{some('b')}</p></div></div>"
+    near = [(100 + k, f"http://b.org/{k}", f"<body>{body}<div>2024-01-0{k}</div></body>") for k in range(7)]
+    df = spark.createDataFrame(few + near, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got[3] == f"{some(3)}\nOnly a few\nSummary" and got[9] == f"{some(9)}\nSummary"
+    assert all(got[100 + k] == f"Title\n{some('a')}\n{some('b')}\n2024-01-0{k}" for k in range(7))
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
