@@ -22,7 +22,7 @@ rows gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -67,8 +67,6 @@ MARKS = frozenset(
     "respond disqus reply replies share sharing social related recommended toolbar pagination pager skip complementary "
     "contentinfo dialog".split()
 )
-#: Elements that are nested deeper are taken as part of the one around them.
-DEPTH = 512
 #: The share of a page's text that is left without its templates, at least.
 LEAST = 0.2
 _SPLIT = re.compile(r"[^a-z]+")
@@ -101,12 +99,20 @@ def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
     hashes: list[int] = []
     items: list[tuple[int, str]] = []
     stack: list[int] = []
+    depths: dict[str, list[int]] = {}  # of each name's open elements: no tag searches the stack
+    blocks: list[int] = []
     inside = 0
 
+    def deepest(names: Iterable[str]) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=-1)
+
     def close() -> None:
         nonlocal inside
         k = stack.pop()
         e = elements[k]
+        depths[e.name].pop()
+        if e.name in BLOCK:
+            blocks.pop()
         e.end = len(items)
         inside -= e.article
         has_text = len(e.parts) > 1
@@ -135,44 +141,36 @@ def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
             continue
         name = name.lower()
         if slash:
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]].name == name:
-                    while len(stack) > k:
-                        close()
-                    break
-                if name in INLINE and elements[stack[k]].name in BLOCK:
-                    break
+            k = deepest((name,))
+            if k >= 0 and not (name in INLINE and blocks and blocks[-1] > k):
+                while len(stack) > k:
+                    close()
             continue
         if name == "br":
             items.append((stack[-1] if stack else -1, " "))
             continue
         if name in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if elements[stack[k]].name == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if elements[stack[k]].name in SCOPE:
-                    break
+            k = deepest(("p",))
+            if k > deepest(SCOPE):  # a block ends an open paragraph
+                while len(stack) > k:
+                    close()
             items.append((stack[-1] if stack else -1, ""))
         if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]].name in CLOSES[name]:
-                    while len(stack) > k:
-                        close()
-                    break
-                if elements[stack[k]].name in ("ul", "ol", "dl", "table"):
-                    break
+            k = deepest(CLOSES[name])
+            if k > deepest(("ul", "ol", "dl", "table")):
+                while len(stack) > k:
+                    close()
         if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
             end = re.compile(f"</{name}", re.I).search(html, at)
             at = end.start() if end else len(html)
             continue
-        if len(stack) >= DEPTH:
-            continue
         elements.append(Element(name, _marked(name, m[3], inside > 0), inside > 0, len(items), stack[-1] if stack else -1))
         hashes.append(0)
+        depths.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
         stack.append(len(elements) - 1)
         inside += elements[-1].article
     if at < len(html):

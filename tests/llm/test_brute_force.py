@@ -278,6 +278,12 @@ def test_html_cases(page, text):
     assert html_text.main_text(page, set()) == text
 
 
+def test_deep_nesting():
+    deep = "<div>" * 600 + "<nav>menu</nav>deep" + "</div>" * 600
+    assert html_text.main_text(f"<div id=w><article>{deep}<p>after</p></article></div>", set()) == "deep\nafter"
+    assert html_text.main_text("<i>" * 50_000 + "</b>" * 50_000 + "<p>x</p>" * 100, set()) == "\n".join("x" * 100)
+
+
 def test_language_held_out(spark, sf_dir, documents):
     lang = {d: x for d, _, x in documents}
     rows = [r for r in queries.QUERIES["op3_language_id"](spark, sf_dir).collect() if r["held_out"] and lang[r["doc_id"]]]
