@@ -23,12 +23,12 @@ def cluster_models(spark: SparkSession, rows: DataFrame, key: str, vector: str,
     """Merges the closest clusters of a bounded set of models; the distance matrix is made
     by Spark and merged on the driver, as its size is checked. Returns ``key, cluster``, a
     cluster being named by its smallest key."""
-    got = pairwise(rows, key, vector, most).collect()
+    got = pairwise(rows, key, vector, most).toArrow()
     keys = sorted({r[key] for r in rows.select(key).collect()})
     at = {k: i for i, k in enumerate(keys)}
     d = np.zeros((len(keys), len(keys)))
-    for r in got:
-        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = r["d"]
+    a, b = (np.fromiter((at[k] for k in got.column(c).to_pylist()), dtype=np.int64, count=len(got)) for c in ("a", "b"))
+    d[a, b] = d[b, a] = got.column("d").to_numpy()
     name = list(range(len(keys)))
     for i, j, _ in kernels.agglomerate(d, linkage_rule, stop, clusters):
         name = [i if n == j else n for n in name]

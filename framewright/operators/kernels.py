@@ -176,12 +176,16 @@ def agglomerate(distance: np.ndarray, linkage: str = "average", stop: float = np
     few enough clusters are left: (kept, merged, distance) by the members' first index."""
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, live, merges = np.ones(len(d)), list(range(len(d))), []
-    while len(live) > clusters:
-        sub = d[np.ix_(live, live)]
-        k = int(np.argmin(np.where(np.triu(np.ones_like(sub), 1) > 0, sub, np.inf)))
-        i, j = live[k // len(live)], live[k % len(live)]
-        if not d[i, j] <= stop:
+    size, merges, n = np.ones(len(d)), [], len(d)
+    live = np.ones(n, dtype=bool)
+    later = np.arange(n)[None, :] > np.arange(n)[:, None]
+    # each row's first closest later one; a merge leaves those of most rows as they are
+    best = np.argmin(np.where(later, d, np.inf), axis=1) if n else np.zeros(0, dtype=np.int64)
+    least = np.where(later[np.arange(n), best], d[np.arange(n), best], np.inf)
+    while live.sum() > clusters:
+        i = int(np.argmin(least))
+        j = int(best[i])
+        if not live[i] or i >= j or not live[j] or not d[i, j] <= stop:
             break
         merges.append((i, j, float(d[i, j])))
         if linkage == "single":
@@ -190,8 +194,16 @@ def agglomerate(distance: np.ndarray, linkage: str = "average", stop: float = np
             new = np.maximum(d[i], d[j])
         else:
             new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        new[~live] = np.inf
         d[i], d[:, i] = new, new
         d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        live.remove(j)
+        live[j], least[j] = False, np.inf
+        closer = live & later[:, i] & ((d[:, i] < least) | (d[:, i] == least) & (i < best))
+        stale = np.flatnonzero(live & ~closer & ((best == j) | (best == i)))
+        best[closer], least[closer] = i, d[closer, i]
+        for r in {i, *stale.tolist()}:
+            best[r] = r + 1 + int(np.argmin(d[r, r + 1 :])) if r + 1 < n else r
+            least[r] = d[r, best[r]]
     return merges

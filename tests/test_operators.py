@@ -124,3 +124,12 @@ def test_registry():
     assert registry.build("test", "one") == 1 and registry.names("test") == ["one"]
     with pytest.raises(KeyError):
         registry.build("test", "two")
+
+
+def test_clusters_hold_every_vector(spark, sf_dir):
+    from framewright.plans import catalog
+
+    rows = catalog.QUERIES["agglomerative_clusters"](spark, sf_dir).collect()
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["vec_id"] for r in rows} == ids and len(rows) == len(ids)
+    assert len({r["cluster"] for r in rows}) == 3 and {r["cluster"] for r in rows} <= ids
