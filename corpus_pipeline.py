@@ -4,7 +4,10 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that its predecess
 between two stages the rows are written as Parquet to the cluster's shared folder and read
 again. All stages but the last return the columns of ``documents``.
 
-1. language: documents without a letter, or without a text, have no language and go.
+1. language: documents without a letter, or without a text, have no language and go, and so
+   do those whose n-grams name no learned language more often than the filter's
+   false-positive rate predicts. If nothing could be learned, as no row has a label, all
+   documents with a letter stay.
 2. exact: of texts that are equal without white space, one row stays.
 3. near: of each component of documents that share 80 % of their five-word shingles, the
    document with the smallest id stays.
@@ -27,7 +30,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     found = langid.predict(docs.select(*COLUMNS), model)
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    named = F.col("score") > 0 if model.slots.any() else F.col("text").rlike(r"\p{L}")
+    return found.filter(named).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,6 +343,19 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert before == [(aws, "x="), (key, f"x={aws},y=")]
 
 
+def test_language_stage(spark):
+    """Without labels whatever has a letter stays; with them what no n-gram names goes."""
+    import corpus_pipeline as P
+
+    texts = ["some words of a text", "other words of the same kind", "123 456", None, "\u4e2d\u6587\u5b57"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    kept = lambda lang: {
+        r["doc_id"] for r in P.language(spark, spark.createDataFrame([(k, t, lang if k < 2 else None, "s", 0) for k, t in enumerate(texts)], schema), "").collect()
+    }
+    assert kept(None) == {0, 1, 4}
+    assert kept("en") == {0, 1}
+
+
 def test_pipeline(spark, sf_dir, con, documents):
     import corpus_pipeline as P
 
