@@ -1,7 +1,7 @@
 """Language identification with a bit-sliced Bloom filter over character n-grams.
 
-One filter serves all languages: every slot holds a 64-bit mask with a bit per language,
-so the bitwise AND of an n-gram's k slots names all languages that contain it. A language's
+One filter serves all languages: every slot holds a mask with a bit per language, in as
+many 64-bit words as they need, so the bitwise AND of an n-gram's k slots names all languages that contain it. A language's
 score is the number of a text's n-grams that name it (a popcount over the masks), corrected
 for the false positives that its own filling of the slots predicts.
 
@@ -72,22 +72,22 @@ def gram_hashes(text: str, sizes: tuple[int, ...]) -> np.ndarray:
 class Model:
     languages: tuple[str, ...]
     weights: tuple[int, ...]  # training texts
-    slots: np.ndarray  # uint64 masks
+    slots: np.ndarray  # uint64 masks, a row per 64 languages
     rates: np.ndarray  # false-positive rate of each language
     hashes: int
     sizes: tuple[int, ...]
 
     def positions(self, grams: np.ndarray) -> Iterator[np.ndarray]:
-        m = np.uint64(len(self.slots) - 1)
+        m = np.uint64(self.slots.shape[-1] - 1)
         step = (grams >> np.uint64(32)) | np.uint64(1)
         for k in range(self.hashes):
             yield ((grams + np.uint64(k) * step) ^ (grams >> np.uint64(17 + 5 * k))) & m
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that contain it."""
-        found = np.full(len(grams), ~np.uint64(0), dtype=np.uint64)
+        """For each n-gram the languages that contain it, a row per 64 languages."""
+        found = np.full((*self.slots.shape[:-1], len(grams)), ~np.uint64(0), dtype=np.uint64)
         for at in self.positions(grams):
-            found &= self.slots[at.astype(np.int64)]
+            found &= np.take(self.slots, at.astype(np.int64), axis=-1)
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -96,8 +96,8 @@ class Model:
         n, hits = 0, np.zeros(len(self.languages), dtype=np.int64)
         for at in range(0, len(text), PART):
             masks = self.masks(gram_hashes(text[at : at + PART + max(self.sizes) - 1], self.sizes))
-            n += len(masks)
-            hits += [np.count_nonzero(masks & np.uint64(1 << k)) for k in range(len(self.languages))]
+            n += masks.shape[-1]
+            hits += [np.count_nonzero(masks[k // 64] & np.uint64(1 << k % 64)) for k in range(len(self.languages))]
         true = np.maximum(0.0, (hits - n * self.rates) / (n * (1 - self.rates)))
         best = min(range(len(true)), key=lambda k: (-true[k], -self.weights[k], self.languages[k]))
         total = float(true.sum())
@@ -116,11 +116,10 @@ def train(
     slots: int = 1 << 18,
     hashes: int = 3,
 ) -> Model:
-    """Learns from a sample of the labelled rows that is bounded by ``per_language``; at
-    most 64 languages, the most frequent ones."""
+    """Learns all labels from a sample of their rows that is bounded by ``per_language``."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    empty = Model((), (), np.zeros(1, dtype=np.uint64), np.zeros(0), hashes, sizes)
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
+    empty = Model((), (), np.zeros((1, 1), dtype=np.uint64), np.zeros(0), hashes, sizes)
     if not counts:
         return empty
     key = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(id_col)), 1)
@@ -163,12 +162,12 @@ def train(
     got["p"] = got["n"] / got.groupby("lang")["n"].transform("sum")
     got = got[got["p"] >= share * got.groupby("g")["p"].transform("max")]
     got = got.sort_values(["lang", "n", "g"], ascending=[True, False, True]).groupby("lang").head(grams)
-    bare = Model(tuple(langs), tuple(texts.get(x, 0) for x in langs), np.zeros(slots, dtype=np.uint64), np.zeros(len(langs)), hashes, sizes)
+    bare = Model(tuple(langs), tuple(texts.get(x, 0) for x in langs), np.zeros((-(-len(langs) // 64), slots), dtype=np.uint64), np.zeros(len(langs)), hashes, sizes)
     for k, lang in enumerate(langs):
         own = got.loc[got["lang"] == lang, "g"].to_numpy().astype(np.uint64)
         for at in bare.positions(own):
-            bare.slots[at.astype(np.int64)] |= np.uint64(1 << k)
-    filled = np.array([np.count_nonzero(bare.slots & np.uint64(1 << k)) / slots for k in range(len(langs))])
+            bare.slots[k // 64, at.astype(np.int64)] |= np.uint64(1 << k % 64)
+    filled = np.array([np.count_nonzero(bare.slots[k // 64] & np.uint64(1 << k % 64)) / slots for k in range(len(langs))])
     return Model(bare.languages, bare.weights, bare.slots, filled**hashes, hashes, sizes)
 
 

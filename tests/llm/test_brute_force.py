@@ -300,6 +300,16 @@ def test_bloom_filter_has_no_misses():
     assert np.all(model.masks(grams) & np.uint64(2))
 
 
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(3)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 8 * 130)]
+    some = lambda k: " ".join("".join(rng.choice(alphabet[8 * k : 8 * k + 8], 4)) for _ in range(30))
+    rows = [(3 * k + j, some(k), f"l{k:03d}") for k in range(130) for j in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 130
+    assert all(model.predict(some(k))[0] == f"l{k:03d}" for k in range(130))
+
+
 def test_secret_forest_on_fresh_findings(spark):
     from framewright.llm import secrets
 
