@@ -108,16 +108,105 @@ def test_masks_find_every_placement(n, allowed):
         assert any(all(s + p not in bad for p in m) for m in decontam.MASKS for s in range(n - decontam.SPAN + 1))
 
 
+def plain_pieces(text):
+    """(words, number of words) of each piece, word by word from the rules of the docstring."""
+    own = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uff00-\uffbf\U00020000-\U0003ffff"
+    words, before = [], ""
+    for m in re.finditer(rf"[{own}]|[^ \t\n\v\f\r{own}]+|[ \t\n\v\f\r]+", text or ""):
+        if m[0].isspace() and not regex.match(f"[{own}]", m[0]):
+            before += m[0]
+            continue
+        if words and re.search(r"[\n\v\f\r]", before):
+            words[-1][1] = True
+        words.append([m[0], bool(re.search(r"[.!?\u2026\u061f\u06d4\u0964\u0965\u1362\u104b\u0f0d\u3002\uff01\uff1f\uff0e\uff61][\"')\]}]?$", m[0]))])
+        before = ""
+    if words:
+        words[-1][1] = True
+
+    def order(word):
+        total = 0
+        for k, x in enumerate(word.lower().encode()):
+            total += int(sentence_spans._BYTE[x]) * pow(int(sentence_spans._POWER), k + 1, 2**64)
+        return int(sentence_spans._mix(np.array([total % 2**64], dtype=np.uint64), 1)[0])
+
+    cuts, start = set(), 0
+    orders = [order(w) for w, _ in words]
+    for k, (_, last) in enumerate(words):
+        if last:
+            cuts.add(k)
+            for s in range(start, k - 12 + 2):
+                cuts.add(min(range(s, s + 12), key=lambda j: (orders[j], -j)))
+            start = k + 1
+    out, start = [], 0
+    for k in sorted(cuts):
+        out.append(([w.lower() for w, _ in words[start : k + 1]], k + 1 - start))
+        start = k + 1
+    return out
+
+
+def plain_runs(pieces):
+    """All shortest runs of 3 pieces and more with 15 words or 6 pieces, from and up to each piece."""
+
+    def enough(a, b):
+        return b - a >= 6 or b - a >= 3 and sum(n for _, n in pieces[a:b]) >= 15
+
+    out = set()
+    for k in range(len(pieces) + 1):
+        out |= set([(k, e) for e in range(k, len(pieces) + 1) if enough(k, e)][:1])
+        out |= set([(s, k) for s in range(k, -1, -1) if enough(s, k)][:1])
+    return out
+
+
 def test_spans(spark, sf_dir, documents):
-    first, gone = {}, {}
-    for i, t, _ in documents:
-        for place, n, low, high in sentence_spans.runs(sentence_spans.sentences(t), 15):
-            if (low, high) in first and first[low, high] != (i, place):
-                gone.setdefault(i, set()).update(range(place, place + n))
-            first.setdefault((low, high), (i, place))
-    text = {i: t for i, t, _ in documents}
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.QUERIES["op6_sentence_spans"](spark, sf_dir).collect()}
-    assert got == {i: (len(g), "".join(s for k, s in enumerate(sentence_spans.sentences(text[i])) if k not in g)) for i, g in gone.items()}
+    cut = {i: plain_pieces(t) for i, t, _ in documents}
+    seen, gone = {}, {}
+    for i in sorted(cut):
+        for a, b in sorted(plain_runs(cut[i])):
+            run = tuple("".join(w) if len(w) > 1 and not w[0].isascii() else " ".join(w) for w, _ in cut[i][a:b])
+            if seen.setdefault(run, (i, a)) != (i, a):
+                gone.setdefault(i, set()).update(range(a, b))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_sentence_spans"](spark, sf_dir).collect()}
+    assert {i: r["n_removed"] for i, r in got.items()} == {i: len(g) for i, g in gone.items()}
+    for i, r in got.items():
+        assert r["n_sentences"] == len(cut[i])
+        assert r["text"].lower().split() == " ".join(" ".join(w) for k, (w, _) in enumerate(cut[i]) if k not in gone[i]).split()
+
+
+@pytest.mark.parametrize("kind", ["prose", "one long sentence", "short sentences", "without blanks", "upper case"])
+def test_planted_passages(spark, kind):
+    """A passage of 51 words, planted in the middle of sentences of other documents, goes from
+    all but the first but for at most eleven words at either end; what is around it stays."""
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"q{rng.integers(10**9)}" for _ in range(n)]
+    glue, mark = " ", "."
+    if kind == "without blanks":
+        some = lambda n: [chr(0x4E00 + int(x)) for x in rng.integers(0, 20_000, n)]
+        glue, mark = "", "\u3002"
+    passage = some(51)
+    for k in {"prose": (9, 15, 30, 44), "short sentences": range(0, 51, 2)}.get(kind, ()):
+        passage[k] += mark
+    rows = []
+    for i in range(7):
+        own = [w.upper() for w in passage] if kind == "upper case" and i == 5 else passage
+        rows.append((i, glue.join(some(int(rng.integers(5, 40))) + own + some(int(rng.integers(5, 40)))), f"{i}"))
+    rows += [(10 + i, glue.join(some(60)), "x") for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.repeats(spark.createDataFrame(rows, "doc_id bigint, text string, id string")).collect()}
+    assert set(got) == set(range(1, 7))
+    parts = (lambda t: list(t)) if kind == "without blanks" else (lambda t: t.lower().split())
+    for i, left in got.items():
+        whole, n = parts(rows[i][1]), parts(glue.join(passage))
+        kept = [w for w in parts(left) if w in n]
+        assert len(kept) <= 22
+        assert [w for w in parts(left) if w not in n] == [w for w in whole if w not in n]
+
+
+def test_a_run_in_many_documents_and_twice_in_one(spark):
+    """Every repetition goes, also in one document, and of six sentences of one word each."""
+    short = "Yes. No. Maybe. So. Then. Well."
+    rows = [(k, f"own{k} begins here. {short} own{k} ends. {short if k == 3 else ''}") for k in range(40)]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in sentence_spans.repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()}
+    assert set(got) == set(range(1, 40))
+    assert got[3][0] == 12 and got[5] == (6, "own5 begins here. own5 ends. ")
 
 
 def test_every_passage_is_made_of_runs():
