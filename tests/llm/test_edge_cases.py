@@ -97,11 +97,27 @@ def test_leaks(spark, some, none):
     near = item.replace("jumps", "leaps").replace("sleeps", "rests").upper()
     df = docs(spark, [(1, f"well, {near}!", "en"), (2, item[:30], "en"), (None, item, "en"), (3, None, None), (4, "too short", "en")])
     got = sorted((r["doc_id"] or 0, r["item_id"], r["doc_start"], r["n_words"], r["n_equal"]) for r in decontam.overlaps(df, items).collect())
-    assert got == [(0, 1, 0, 14, 14), (1, 1, 1, 14, 12)]
+    assert got == [(0, 1, 0, 14, 14), (1, 1, 1, 14, 12), (4, 3, 0, 2, 2)]  # short items are found whole
     assert sorted(r["doc_id"] for r in decontam.without_benchmark(df, items).collect()) == [2, 3, 4]
     assert decontam.overlaps(none, items).count() == 0 and decontam.overlaps(df, items.limit(0)).count() == 0
     by_join = decontam.overlaps(df, items, broadcast_rows=0)
-    assert sorted((r["doc_id"] or 0) for r in by_join.collect()) == [0, 1]
+    assert sorted((r["doc_id"] or 0) for r in by_join.collect()) == [0, 1, 4]
+
+
+def test_leaks_of_short_equal_and_repeated(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "Alpha, beta gamma delta epsilon!"), (3, "go " * 30), (4, "one two three four five six seven")], "item_id bigint, text string")
+    df = docs(spark, [
+        (1, "x alpha beta gamma delta epsilon y", "en"),
+        (2, "x alpha beta gamma delta zeta y", "en"),
+        (3, "go " * 20_000, "en"),
+        (None, "one two three four five six seven", "en"),
+        (None, "a clean text", "en"),
+        (4, "one two three four five six", "en"),
+    ])
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["n_words"], r["n_equal"]) for r in decontam.overlaps(df, items).collect())
+    assert got == [(0, 4, 7, 7), (1, 1, 5, 5), (1, 2, 5, 5), (3, 3, 30, 30)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in decontam.without_benchmark(df, items).select("doc_id", "text").collect())
+    assert [i for i, _ in left] == [0, 2, 4] and left[0][1] == "a clean text"
 
 
 def test_tokens(some, none):
