@@ -8,14 +8,15 @@ one row per map task, not one per copy.
 
 Defined results: a null text counts as empty; of equal texts the row with the most code
 points in its original text stays, then the smallest id, a null id being the largest;
-rows that repeat the id and text length of the row that stays are the same record and are
-all marked as kept; an empty table gives an empty result; further columns are ignored,
+rows that repeat the id and text length of the row that stays are the same record: all are
+marked as kept by ``exact_groups``, and ``drop_copies`` leaves one of them; an empty table
+gives an empty result; further columns are ignored by the one and kept by the other,
 whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -72,14 +73,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _hashable(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, one row of each group of equal texts."""
-    keep = text_classes(docs, id_col, text_col).select(
-        F.col("_md5").alias("_keep_md5"), F.col("keep_id").alias("_keep_id"), F.col("keep_len").alias("_keep_len")
-    )
-    same = (
-        (F.md5(normalised(F.col(text_col))) == F.col("_keep_md5"))
-        & F.col(id_col).eqNullSafe(F.col("_keep_id"))
-        & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_keep_len"))
-    )
-    return docs.join(keep, same, "left_semi")
+    """``docs`` with all its columns, one row of each group of equal texts. The row's number
+    among its repetitions needs no shuffle besides the join's, as it has the join's keys."""
+    key = lambda md5, doc, length: [
+        md5.alias("_m"), F.coalesce(doc.cast("string"), F.lit("")).alias("_i"), doc.isNull().alias("_no"), length.alias("_l")
+    ]
+    keep = text_classes(docs, id_col, text_col).select(*key(F.col("_md5"), F.col("keep_id"), F.col("keep_len")))
+    own = key(F.md5(normalised(F.col(text_col))), F.col(id_col), F.length(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *own, F.xxhash64(*_hashable(docs)).alias("_h"))
+    keys = ["_m", "_i", "_no", "_l"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+    left = rows.join(keep, keys).withColumn("_nth", nth).filter("_nth = 1")
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone(_gone)``, and one row of each id and text. Only
+    rows that have their like are brought together."""
+    key = [F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_x")]
+    again = docs.select(*key).groupBy("_i", "_x").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (key[1] == F.col("_x"))
+    unlinked = F.col(id_col) == F.col("_gone")
+    once = docs.join(gone, unlinked, "left_anti").join(again, same, "left_anti")
+    order = Window.partitionBy(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).orderBy(F.xxhash64(*_hashable(docs)))
+    more = docs.join(again, same, "left_semi").join(gone, unlinked, "left_anti").withColumn("_nth_of_like", F.row_number().over(order))
+    return once.union(more.filter("_nth_of_like = 1").drop("_nth_of_like"))
