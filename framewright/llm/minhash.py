@@ -5,8 +5,9 @@ A document is the set of its distinct ``words``-word shingles. Two permutations
 second, shifted circularly by k, gives coordinate k as the smallest image of the set.
 Bands of coordinates are hashed into buckets.
 
-Documents with equal sets (by two independent 64-bit sums over the set and its size) form a
-class, and only one representative of it is compared. Within a bucket no two members are
+Documents with equal sets (by two 64-bit sums over the set and its size) form a class, and
+only one representative of it is compared with others; every member's full set is compared
+with the representative's, and one that differs is no member. Within a bucket no two members are
 paired for all pairs:
 
 1. every member is compared with the bucket's hub, a member drawn anew for each band, so a
@@ -17,7 +18,8 @@ paired for all pairs:
    threshold at all. The comparison with the hub has told what each member lacks of it, as a
    bit map, and what it has besides: two members share at most the hub's shingles that
    neither lacks, and of the others what the maps' union and the shingles that no other
-   compared document has leave. Confirmed links are added and components formed again.
+   compared document has leave. Confirmed links are added and components formed again. The
+   pairs of a large bucket are dealt out by blocks of its members.
 
 A pair of similarity 0.8 misses all 36 bands of 5 coordinates with a probability under
 1e-6; nothing else is lost, and nothing is capped.
@@ -25,7 +27,7 @@ A pair of similarity 0.8 misses all 36 bands of 5 coordinates with a probability
 Defined results: a text without words, or a null one, has size 0 and is linked with nothing;
 a text with fewer words than a shingle has its whole sequence as one shingle; a row with a
 null id is linked with nothing, has a null component and is kept; rows that share an id are
-one document, and are all kept or all dropped; ties cannot arise, a component's smallest id
+one document; of rows with equal id and text ``drop_near_duplicates`` leaves one; ties cannot arise, a component's smallest id
 stands for it; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -41,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.exact_dedup import without_repeats
 from framewright.llm.graph import components
 from framewright.llm.storage import written
 
@@ -55,6 +58,8 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: 64-bit integers in a bit map of shingles.
 LONGS = 8
+#: Members of an open bucket that one block of its pairs has, about.
+BLOCK = 512
 #: Bytes of text that are hashed at once.
 _SLICE = 1 << 21
 
@@ -213,6 +218,26 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.select("u", "v", "_a", "_b").sortWithinPartitions("v").mapInArrow(run, schema)
 
 
+def _unequal(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``id, strange``: the members whose set isn't their representative's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, frozenset()
+        for batch in batches:
+            found = []
+            for x, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != b:
+                    if b != last:
+                        last, own = b, word_set(b, words)
+                    if word_set(a, words) != own:
+                        found.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([True] * len(found), pa.bool_())], names=["id", "strange"])
+
+    rows = members.join(texts.select("id", F.col("text").alias("_a")), "id")
+    rows = rows.join(texts.select(F.col("id").alias("rep"), F.col("text").alias("_b")), "rep")
+    return rows.select("id", "_a", "_b").mapInArrow(run, "id bigint, strange boolean").distinct()
+
+
 def _lonely(texts: DataFrame, words: int) -> DataFrame:
     """``id, alone``: how many of a text's shingles no other of ``texts`` has."""
 
@@ -244,9 +269,15 @@ def near_duplicates(
     classes = written(
         sigs.filter("n > 0 and id is not null")
         .groupBy("f1", "f2", "n")
-        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands")),
+        .agg(F.min("id").alias("rep"), F.max("id").alias("_last"), F.first("bands").alias("bands")),
         "classes",
     )
+    members = (
+        sigs.join(classes.filter("rep < _last").select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
+        .filter(F.col("id") != F.col("rep"))
+        .select("id", "rep")
+    )
+    members = written(members.distinct(), "members")
     placed = classes.select("rep", "n", F.explode("bands").alias("key"))
     draw = F.struct(F.xxhash64("key", "rep").alias("d"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     hubs = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(draw).alias("h"))
@@ -258,21 +289,23 @@ def near_duplicates(
         .distinct(),
         "stars",
     )
-    wanted = shared.select(F.col("rep").alias("id")).distinct()
+    wanted = shared.select(F.col("rep").alias("id")).union(members.select("id")).union(members.select("rep")).distinct()
     texts = written(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(
             wanted, "id", "left_semi"
         ),
         "texts",
     )
+    strangers = written(_unequal(members, texts, words), "strangers")
     tested = written(_compared(stars, texts, words, percent), "tested")
     first = written(components(tested.filter("linked").select("u", "v")), "components")
 
     # buckets that still hold several components
     labelled = shared.join(first, F.col("rep") == F.col("node"), "left")
     labelled = labelled.select("key", "rep", "n", "hub", "hub_n", F.coalesce("root", "rep").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    rest = written(labelled.join(open_.select("key"), "key", "left_semi"), "open")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks).filter("lo < hi")
+    rest = written(labelled.join(open_.select("key", "blocks"), "key"), "open")
     alone = _lonely(texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words)
     # what each member lacks of its hub, and what it has besides
     here, there = [f"u{k}" for k in range(LONGS)], [f"v{k}" for k in range(LONGS)]
@@ -287,7 +320,7 @@ def near_duplicates(
         rest.join(seen, (F.col("rep") == F.col("_r")) & (F.col("hub") == F.col("_h")), "left")
         .join(alone, F.col("rep") == F.col("id"), "left")
         .select(
-            "key", "rep", "n", "label", "hub_n",
+            "key", "blocks", "rep", "n", "label", "hub_n",
             (F.col("n") - F.coalesce("both", "n")).alias("more"),
             F.coalesce("alone", F.lit(0)).alias("alone"),
             *[F.coalesce(x, F.lit(0)).alias(x) for x in lost + extra],
@@ -302,11 +335,15 @@ def near_duplicates(
         F.col("a.more") - F.col("a.alone"), F.col("b.more") - F.col("b.alone"), F.col("a.more") + F.col("b.more") - either(extra)
     )
     most = F.col("a.hub_n") - either(lost) + F.greatest(F.lit(0), shared_more)
+    # each member once in its block, against all members in every block
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    everywhere = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = (
-        rest.alias("a")
+        dealt.alias("a")
         .join(
-            rest.alias("b"),
+            everywhere.alias("b"),
             (F.col("a.key") == F.col("b.key"))
+            & (F.col("a.block") == F.col("b.block"))
             & (F.col("a.rep") > F.col("b.rep"))
             & (F.col("a.label") != F.col("b.label"))
             & (F.lit(100 + percent) * F.least(most, "a.n", "b.n") >= F.lit(percent) * (F.col("a.n") + F.col("b.n"))),
@@ -321,7 +358,8 @@ def near_duplicates(
     labels = classes.select("f1", "f2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left")
     labels = labels.select("f1", "f2", "n", F.coalesce("root", "rep").alias("label"))
     out = sigs.join(labels, ["f1", "f2", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("label")).otherwise(F.col("id"))
+    out = out.join(strangers, "id", "left")
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull() & F.col("strange").isNull(), F.col("label")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -330,7 +368,8 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, without the documents that another one stands for."""
-    gone = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return without_repeats(docs, id_col, text_col, written(gone, "gone"))
