@@ -14,8 +14,9 @@ of lost attempts are never referred to. Files go to a folder that all executors
 through Arrow's file systems.
 
 Defined results: a null html is an empty payload; a null url has an empty key; a null page
-id is larger than any other; rows that repeat a response's page id and payload are responses
-too; a table without rows gives an empty index; further columns are ignored.
+id is larger than any other; of rows that repeat a response's page id and payload one is the
+response, and the others revisit it; a table without rows gives an empty index; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.storage import fresh_dir, written
@@ -135,24 +137,20 @@ def write_archives(
 ) -> DataFrame:
     """Writes a record per row below ``folder``; returns the captures, written as a table."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size"))
-    keyed = keyed.filter(F.col("size") >= min_bytes).select("page_id", "sha")
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_i"), F.col(id_col).isNull().alias("_no"), F.sha1(html).alias("sha")]
+    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), *own, F.octet_length(html).alias("size"))
+    keyed = keyed.filter(F.col("size") >= min_bytes)
     firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    revisits = (
-        keyed.join(firsts.select("sha", "first"), "sha")
-        .filter(~F.col("page_id").eqNullSafe(F.col("first")))
-        .select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first")
-        .distinct()
-    )
+    copies = keyed.join(firsts.select("sha", "first"), "sha").select("_i", "_no", "sha", "first").distinct()
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).alias("url"),
-        url_key(F.col(url_col)).alias("key"),
-        html.alias("html"),
-        F.sha1(html).alias("sha"),
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), url_key(F.col(url_col)).alias("key"), html.alias("html"), *own
     )
-    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    rows = rows.select("page_id", "url", "key", "html", "sha", "first", F.col("_sha").isNotNull().alias("revisit"))
+    # the number among rows of equal id and payload has the join's keys: no further shuffle
+    keys = ["_i", "_no", "sha"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("key", "url"))
+    rows = rows.join(copies.withColumn("copy", F.lit(True)), keys, "left").withColumn("nth", nth)
+    again = F.col("copy").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("nth") > 1))
+    rows = rows.select("page_id", "url", "key", "html", "sha", "first", again.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Output(folder, "warc.gz")
@@ -235,7 +233,7 @@ class _Shard:
             self._block = (k, [json.loads(x) for x in text.split("\n")])
         return self._block[1]
 
-    def find(self, key: str) -> Iterator[tuple]:
+    def find(self, key: str) -> Iterator[tuple]:  # a block at a time
         k = max(0, bisect_left(self._first, key) - 1)  # the key may begin inside the block before
         while k < len(self._first) and self._first[k] <= key:
             lines = self.block(k)
@@ -245,40 +243,59 @@ class _Shard:
             k += 1
 
 
-def lookup(shards: DataFrame, keys: DataFrame, most_shards: int = 1_000_000) -> DataFrame:
-    """The captures of all distinct ``key`` values of ``keys``.
-
-    Level one has a row per index file and is held by every task; its size is checked."""
-    if shards.count() > most_shards:
-        raise ValueError("more index files than a task may hold; build the index with fewer partitions")
-    spark = keys.sparkSession
-    bounds = spark.sparkContext.broadcast(
+def _placed(asked: DataFrame, shards: DataFrame) -> DataFrame:
+    """``shard, key``: the index files whose bounds hold each key."""
+    bounds = asked.sparkSession.sparkContext.broadcast(
         sorted((r["first_key"], r["last_key"], r["shard"]) for r in shards.select("first_key", "last_key", "shard").collect())
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = keys.select("key").filter("key is not null").distinct()
-    asked = asked.repartitionByRange(parts, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bounds.value
         lasts = [b[1] for b in known]
-        at, shard = None, None
         for batch in batches:
-            found = []
+            found: list[tuple[str, str]] = []
             for key in batch.column(0).to_pylist():
                 k = bisect_left(lasts, key)
                 while k < len(known) and known[k][0] <= key:
-                    if known[k][2] != at:
-                        at, shard = known[k][2], _Shard(known[k][2])
-                    found.extend(shard.find(key))
+                    found.append((known[k][2], key))
+                    k += 1
+            cols = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["shard", "key"])
+
+    return asked.mapInArrow(run, "shard string, key string")
+
+
+def lookup(shards: DataFrame, keys: DataFrame, most_shards: int = 1_000_000) -> DataFrame:
+    """The captures of all distinct ``key`` values of ``keys``.
+
+    Level one has a row per index file; tasks hold ``most_shards`` of them at once, and more
+    are gone through in blocks. Then each task looks up the keys of its own index files, so a
+    key of very many captures is many tasks' work."""
+    blocks = -(-shards.count() // most_shards)
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = keys.select("key").filter("key is not null").distinct()
+    if not blocks:
+        return keys.sparkSession.createDataFrame([], CAPTURE)
+    own = F.pmod(F.xxhash64("shard"), F.lit(blocks))
+    placed = reduce(DataFrame.union, [_placed(asked, shards.filter(own == k)) for k in range(blocks)])
+    placed = placed.repartition(parts, "shard", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("shard", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for batch in batches:
+            found = []
+            for uri, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if uri != at:
+                    at, shard = uri, _Shard(uri)
+                for line in shard.find(key):
+                    found.append(line)
                     if len(found) >= 10_000:
                         yield _batch(found)
                         found = []
-                    k += 1
             if found:
                 yield _batch(found)
 
-    return asked.mapInArrow(run, CAPTURE)
+    return placed.mapInArrow(run, CAPTURE)
 
 
 def read_records(captures: DataFrame, payload: bool = True) -> DataFrame:

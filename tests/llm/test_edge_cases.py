@@ -33,7 +33,7 @@ def test_exact(some, none):
     got = sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(some).collect())
     assert got == [(0, None, 1, True), (1, 1, 3, True), (1, 1, 3, True), (2, 4, 3, False), (3, 4, 3, False), (4, 4, 3, True), (5, 5, 1, True), (6, 6, 1, True), (7, 1, 3, False)]
     kept = exact_dedup.drop_copies(some)
-    assert kept.columns == some.columns and kept.count() == 6
+    assert kept.columns == some.columns and kept.count() == 5  # one of the repeated row
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
@@ -54,7 +54,7 @@ def test_near(some, none):
     assert (got[None]["component_id"], got[None]["kept"]) == (None, True)
     assert got[5]["n_shingles"] == 29_999
     left = minhash.drop_near_duplicates(some, words=2)
-    assert left.columns == some.columns and left.count() == len(ROWS) - 1
+    assert left.columns == some.columns and left.count() == len(ROWS) - 2  # 7 and one of the repeated row
     assert minhash.near_duplicates(none).count() == 0
 
 
@@ -136,13 +136,36 @@ def pages(spark, rows):
 
 
 def test_warc(spark):
-    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages(spark, PAGES)).collect())
-    assert got == [(0, 10, "revisit", 1), (1, 10, "response", None), (1, 10, "response", None), (2, 10, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 100_007, "response", None)]
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or None) for r in warc.round_trip(pages(spark, PAGES)).collect())
+    assert got == [(0, 10, "revisit", 1), (1, 10, "response", None), (1, 10, "revisit", 1), (2, 10, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, 100_007, "response", None)]
     least = [r["record_type"] for r in warc.round_trip(pages(spark, PAGES), min_bytes=11).collect()]
     assert least == ["response"] * 7
     assert warc.round_trip(pages(spark, PAGES).limit(0)).count() == 0
 
 
+def test_warc_index_in_blocks(spark):
+    """More index files than a task holds, and one key that is in all of them."""
+    folder = warc.fresh_dir(spark, "test")
+    rows = [(k, "http://a.org/hot" if k % 2 else f"http://b.org/{k}", f"<p>{k}</p>") for k in range(400)]
+    captures = warc.write_archives(pages(spark, rows), folder)
+    shards = warc.build_index(captures, f"{folder}-index")
+    keys = captures.select("key").filter("page_id % 4 <> 0")
+    found = {r["page_id"] for r in warc.lookup(shards, keys, most_shards=1).collect()}
+    assert shards.count() > 1 and found == {k for k in range(400) if k % 4}
+
+
+def test_repeated_rows_leave_one(spark):
+    """Rows that repeat id and text, with and without an id, and with other columns that differ."""
+    rows = [(1, "some words of a text here", "en"), (1, "some words of a text here", "fr"), (1, "some words of a text here", "en")]
+    rows += [(None, "other words that nobody else has", "en")] * 2 + [(3, "some words of  a text here", None), (4, None, None), (4, None, None)]
+    df = docs(spark, rows)
+    for left in (exact_dedup.drop_copies(df), minhash.drop_near_duplicates(exact_dedup.drop_copies(df)), minhash.drop_near_duplicates(df)):
+        assert left.columns == df.columns
+    got = lambda left: sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    assert got(exact_dedup.drop_copies(df)) == [(0, "other words that nobody else has"), (3, "some words of  a text here"), (4, "")]
+    assert got(minhash.drop_near_duplicates(df)) == [(0, "other words that nobody else has"), (1, "some words of a text here"), (4, "")]
+
+
 def test_html(spark):
     got = sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(pages(spark, PAGES)).collect())
     assert [t for _, t in got[:6]] == ["one", "one", "one", "one", "", ""] and len(got[6][1]) == 99_999
