@@ -8,8 +8,12 @@ copies of a page are no template. A page that would keep less than a fifth of it
 without its templates is a near copy of others: they are its body, and it keeps them.
 
 What is kept is the article: the ``article`` or ``main`` elements if there are any, else the
-body. Besides the templates, elements whose name, role, class or id says that they are menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles go.
+body. Besides the templates, elements go whose name says that they are menus, headers,
+footers, sidebars, forms, scripts or styles. A role, class or id is a weak sign: one of its
+names must consist of such words and of words without a meaning of their own, so that
+``site-header`` is a mark, and ``article-header`` or ``related-work`` isn't. No sign holds for an
+element around the article, which is the longest one if all are in marked elements, or, on
+pages without any, around the first ``h1``; a form that holds most of a page's text is no form.
 Headings, paragraphs, list items, cells and parts of a line are content, however often they
 recur by themselves.
 
@@ -33,12 +37,14 @@ from pyspark.sql import functions as F
 
 from framewright.llm.storage import written
 
+# A quotation mark opens a value only after "="; what meets "<" before ">" is text.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/><]*)((?:[^>=<]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s><]*+))*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![^\s/\"'])([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +58,7 @@ DROPPED = frozenset(
     "script style noscript template iframe object svg math canvas audio video nav aside footer form button select "
     "textarea input label fieldset dialog menu title head noembed noframes xmp search".split()
 )
+STRONG = frozenset("nav aside footer header button select textarea menu".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption td th".split())
 INLINE = frozenset("a b i em strong span u s small sub sup code mark q cite abbr time font big del ins kbd var".split())
 CLOSES = {  # a start tag ends these open elements
@@ -62,14 +69,21 @@ SCOPE = frozenset("ul ol dl table td th div section article main body blockquote
 # Words in class, id and role that mark other parts of a page.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar "
-    "navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget notice notices alert cookie cookies "
-    "consent gdpr popup modal overlay newsletter subscribe subscription signup login form search comment comments "
-    "respond disqus reply replies share sharing social related recommended toolbar pagination pager skip complementary "
-    "contentinfo dialog".split()
+    "navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets notice notices alert cookie "
+    "cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search comment comments "
+    "commentlist respond disqus reply replies share sharing social related recommended toolbar pagination pager skip "
+    "complementary contentinfo dialog form".split()
+)
+# Words that say nothing beside a mark.
+NEUTRAL = frozenset(
+    "site page main top bottom left right primary secondary global block box area wrap wrapper container list item items "
+    "section bar link links content inner outer module panel unit slot group row col column js mobile desktop sticky "
+    "fixed body text thread author meta posts button buttons icon icons media google dfp".split()
 )
 #: The share of a page's text that is left without its templates, at least.
 LEAST = 0.2
 _SPLIT = re.compile(r"[^a-z]+")
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
@@ -86,12 +100,37 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
         return True
     if attributes and name not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
-            words = _SPLIT.split(unescape(m[2] or m[3] or m[4] or "").lower())
-            if not MARKS.isdisjoint(words):
-                return True
+            if m[1].lower() in ("class", "id", "role"):
+                for one in unescape(m[2] or m[3] or m[4] or "").split():
+                    words = {w for w in _SPLIT.split(_CASE.sub("-", one).lower()) if w}
+                    if not MARKS.isdisjoint(words) and words <= MARKS | NEUTRAL:
+                        return True
     return False
 
 
+def _unmark(elements: list[Element], items: list[tuple[int, str]]) -> None:
+    """Takes the mark from what is around the article."""
+    length = np.concatenate([[0], np.cumsum([len(value) for _, value in items], dtype=np.int64)])
+    size = lambda e: int(length[e.end] - length[e.start])
+    dropped = [False] * len(elements)
+    for k, e in enumerate(elements):
+        dropped[k] = e.marked or e.parent >= 0 and dropped[e.parent]
+    articles = [k for k, e in enumerate(elements) if e.article and not e.marked]
+    core = -1
+    if articles and all(dropped[k] for k in articles):
+        core = max(articles, key=lambda k: (size(elements[k]), -k))
+    elif not articles:
+        core = next((k for k, e in enumerate(elements) if e.name == "h1"), -1)
+    while core >= 0:
+        e = elements[core]
+        if e.name not in STRONG:
+            e.marked = False
+        core = e.parent
+    for e in elements:
+        if e.marked and e.name == "form" and 2 * size(e) > length[-1]:
+            e.marked = False
+
+
 def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
     """Elements in page order, subtree hashes by element (0: without text), and items:
     (number of elements begun, text), a line break between blocks being an empty text."""
@@ -177,6 +216,7 @@ def parse(html: str) -> tuple[list[Element], list[int], list[tuple[int, str]]]:
         text(html[at:])
     while stack:
         close()
+    _unmark(elements, items)
     return elements, hashes, items
 
 
@@ -187,9 +227,9 @@ def countable(elements: list[Element], hashes: list[int]) -> list[int]:
     holds = [False] * len(elements)
     for k, e in enumerate(elements):
         if e.article and not e.marked and not e.inside:
-            for j in range(k + 1):
-                if elements[j].start <= e.start and elements[j].end >= e.end:
-                    holds[j] = True
+            while k >= 0 and not holds[k]:
+                holds[k] = True
+                k = elements[k].parent
     own = [
         bool(h)
         and not holds[k]
@@ -205,6 +245,14 @@ def countable(elements: list[Element], hashes: list[int]) -> list[int]:
     return list(out)
 
 
+def _clear(keep: np.ndarray, elements: list[Element], goes: list[bool]) -> None:
+    upto = 0
+    for e, gone in zip(elements, goes):
+        if gone and e.end > upto:  # else it is inside one that went
+            keep[e.start : e.end] = False
+            upto = e.end
+
+
 def main_text(html: str, template: set[int]) -> str:
     """The article's text, a line per block, without subtrees of the template."""
     elements, hashes, items = parse(html)
@@ -215,14 +263,10 @@ def main_text(html: str, template: set[int]) -> str:
         for e in elements:
             if e.article and not e.marked and not e.inside:
                 keep[e.start : e.end] = True
-    for e in elements:
-        if e.marked:
-            keep[e.start : e.end] = False
+    _clear(keep, elements, [e.marked for e in elements])
     if allowed:
         left = keep.copy()
-        for e, h in zip(elements, hashes):
-            if h in allowed:
-                left[e.start : e.end] = False
+        _clear(left, elements, [h in allowed for h in hashes])
         size = np.array([len("".join(value.split())) for _, value in items], dtype=np.int64)
         if LEAST * size[keep].sum() <= size[left].sum():
             keep = left

@@ -361,12 +361,42 @@ def test_recurring_content_is_no_template(spark):
         ("<p>cut <a href='/x", "cut"),
         ("<!-- <p>no</p> --><form>f</form><p title='a>b'>ok</p>", "ok"),
         ("<style>p{}</style", ""),
+        ("<div class='layout with-sidebar'><article><p>in</p></article><div class='sidebar'>s</div></div>", "in"),
+        ("<div class='sidebar'><article><p>all of it</p></article></div>", "all of it"),
+        ("<body><form action=x><nav>n</nav><p>A whole page in one form</p><input></form></body>", "A whole page in one form"),
+        ("<div class='article-header'><h1>T</h1></div><p>x</p>", "T\nx"),
+        ("<article><section id='related-work'><p>a</p></section><p class='market-share'>b</p></article>", "a\nb"),
+        ("<p title=don't>Hello</p><p>more</p><p title='it'>end</p>", "Hello\nmore\nend"),
+        ("<p>a <b and c</p><p>d</p>", "a <b and c\nd"),
+        ("<article class='post'><p>text</p><ol class='commentlist'><li><article>me too</article></li></ol></article>", "text"),
+        ("<article><p>text</p></article><div id='comments-area'><article>me too, at length</article></div>", "text"),
+        ("<div class='siteHeader'>x</div><div class='cookie-notice'>y</div><p>z</p>", "z"),
     ],
 )
 def test_html_cases(page, text):
     assert html_text.main_text(page, set()) == text
 
 
+def test_the_counts_decide(spark):
+    """Without the templates, the same pages give other texts."""
+    menu = "<div class='k7'><span>Home</span><ul><li>Products of ours</li><li>About</li></ul></div>"
+    some = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    pages = [(k, f"http://a.org/{k}", f"<body>{menu}<h1>T{k}</h1><div><p>{some(k)}</p></div><div class='k9'>Contact us today</div></body>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for k, _, h in pages:
+        assert got[k] == f"T{k}\n{some(k)}"
+        assert html_text.main_text(h, set()) == f"Home\nProducts of ours\nAbout\nT{k}\n{some(k)}\nContact us today"
+
+
+def test_many_articles_and_marks_in_little_time():
+    import time
+
+    start = time.process_time()
+    html_text.countable(*html_text.parse("<article><p>x</p></article>" * 40_000)[:2])
+    html_text.main_text("<div class='menu'>" * 20_000 + "x" + "<article>a</article>" * 20_000, set())
+    assert time.process_time() - start < 30
+
+
 def test_deep_nesting():
     deep = "<div>" * 600 + "<nav>menu</nav>deep" + "</div>" * 600
     assert html_text.main_text(f"<div id=w><article>{deep}<p>after</p></article></div>", set()) == "deep\nafter"
