@@ -472,6 +472,69 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert before == [(aws, "x="), (key, f"x={aws},y=")]
 
 
+def test_secrets_by_kind(spark):
+    """Findings of kinds of their own, most of them not trained on, in names and texts that
+    the training doesn't know: recall of each kind, and false alarms of each harmless one."""
+    import random
+    import uuid
+
+    from framewright.llm import secrets
+
+    rng = random.Random(5)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, dig, hx = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    any_ = low + up + dig
+    real = {
+        "aws id": lambda: f"aws_access_key_id=AKIA{some(up + dig, 16)}",
+        "aws secret": lambda: f"aws_secret_access_key = {some(any_ + '+/', 40)}",
+        "github": lambda: f"export GITHUB_TOKEN=ghp_{some(any_, 36)}",
+        "github in address": lambda: f"git clone https://ghp_{some(any_, 36)}@github.com/some/thing.git",
+        "slack": lambda: f"slack = xoxb-{some(dig, 12)}-{some(dig, 12)}-{some(any_, 24)}",
+        "google": lambda: f"key: AIza{some(any_ + '_-', 35)}",
+        "gitlab": lambda: f"token: glpat-{some(any_, 20)}",
+        "json": lambda: f'{{"api_key": "{some(hx, 32)}"}}',
+        "password": lambda: f"password = {some(any_ + '!#%*', 11)}{rng.choice(dig)}",
+        "connection": lambda: f"postgres://u:{some(any_, 9)}7x@db.local/main",
+    }
+    harmless = {
+        "hash in prose": lambda: f"the commit {some(hx, 40)} fixed the build",
+        "uuid": lambda: f"request {uuid.UUID(int=rng.getrandbits(128))} was served",
+        "path": lambda: f"see /usr/share/doc/{some(low, 6)}/{some(low, 8)}-{rng.randint(1, 99)}/index{rng.randint(10, 99)}.html",
+        "plain value": lambda: f"password: {rng.choice(['required', 'please change', 'optional', 'unknown', 'forgotten'])} by the user",
+    }
+    rows, kinds = [], []
+    for group in (real, harmless):
+        for kind, make in group.items():
+            for _ in range(100):
+                rows.append((len(rows), f"some words here {make()} and others there"))
+                kinds.append(kind)
+    got = {r["doc_id"] for r in secrets.findings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect() if r["is_secret"]}
+    share = {kind: sum(k in got for k in range(len(rows)) if kinds[k] == kind) / 100 for kind in [*real, *harmless]}
+    print(share)
+    assert all(share[k] >= 0.9 for k in real), share
+    assert all(share[k] <= 0.1 for k in harmless), share
+
+
+def test_short_and_bare_values_are_candidates(spark):
+    from framewright.llm import secrets
+
+    texts = ["password = hunter2!", 'password: "correct-horse-battery"', "postgres://u:Pa55w0rd@db/x", "k1=ghp_" + "a1" * 18 + ";k2=sk_live_" + "b2" * 12, "the passwords of others: none here", "", None]
+    rows = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["place"], r["candidate"]))
+    assert got == {0: [(2, "hunter2!")], 1: [(1, "correct-horse-battery")], 2: [(0, "Pa55w0rd")], 3: [(0, "ghp_" + "a1" * 18), (0, "sk_live_" + "b2" * 12)]}
+
+
+def test_vocabulary(spark):
+    from framewright.llm import secrets
+
+    df = spark.createDataFrame([(k, "lorem ipsum ipsum", "x") for k in range(5)] + [(9, None, "x"), (10, "Ipsum rare", "x")], "doc_id bigint, text string, n string")
+    assert {"lorem", "ipsum"} <= secrets.vocabulary(df, most_words=2).known and "rare" not in secrets.vocabulary(df, most_words=2).known
+    words = secrets.vocabulary(df)
+    assert words.follows["qu"] != words.follows["ip"] and set(secrets.vocabulary(df.limit(0)).known) == set(secrets.DICTIONARY)
+
+
 def test_language_stage(spark):
     """Without labels whatever has a letter stays; with them what no n-gram names goes."""
     import corpus_pipeline as P
