@@ -35,29 +35,37 @@ def z_transform(x: Column, mean, sd) -> Column:
     return (x - mean) / sd
 
 
-def sigmoid(x: Column, zero_at: float, half_at: float, one_at: float, eps: float = 0.01) -> Column:
-    """A logistic curve with value eps at ``zero_at``, a half at ``half_at`` and 1 - eps at
-    ``one_at``; it falls if ``zero_at`` is the larger end."""
-    slope = math.log(1 / eps - 1)
-    low, high = abs(half_at - zero_at), abs(one_at - half_at)
-    rising = 1 if one_at > zero_at else -1
-    t = (x - half_at) * rising
-    return 1 / (1 + F.exp(-F.when(t < 0, t * (slope / low)).otherwise(t * (slope / high))))
-
-
-def inverse_sigmoid(y: Column, zero_at: float, half_at: float, one_at: float, eps: float = 0.01) -> Column:
-    slope = math.log(1 / eps - 1)
-    low, high = abs(half_at - zero_at), abs(one_at - half_at)
-    rising = 1 if one_at > zero_at else -1
-    z = -F.ln(1 / y - 1)
-    return half_at + rising * F.when(z < 0, z * (low / slope)).otherwise(z * (high / slope))
-
-
-def binomial(n: Column, k: Column, most: int = 60) -> Column:
-    """n over k, for k of at most ``most``."""
-    terms = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(k, F.lit(most))))
-    product = F.aggregate(terms, F.lit(1.0), lambda s, i: s * (n - k + i) / i)
-    return F.round(F.when(k > 0, product).otherwise(F.lit(1.0)))
+#: Where the logistic curve begins and ends for the usual eps of 1e-6.
+EPS, BEGIN, END = 1e-6, -13.81550955796377, 13.81551055796427
+
+
+def sigmoid(x: Column, zero_at: float, half_at: float, one_at: float, eps: float = EPS, p: float = 1.0) -> Column:
+    """A curve that is 0 before ``zero_at``, a half at ``half_at`` and 1 from ``one_at`` on,
+    logistic with slope ``p`` between; it falls if ``zero_at`` is the larger end."""
+    begin, end = (BEGIN, END) if eps == EPS else (math.log(eps), -math.log(eps))
+    left, right = min(zero_at, one_at), max(zero_at, one_at)
+    scaled = F.when(x < half_at, rescale(x, left, half_at, begin, 0.0)).otherwise(rescale(x, half_at, right, 0.0, end))
+    rising = F.when(x < left, 0.0).when(x >= right, 1.0).otherwise(1 / (1 + F.exp(-p * scaled)))
+    return rising if zero_at < one_at else 1 - rising
+
+
+def inverse_sigmoid(y: Column, zero_at: float, half_at: float, one_at: float, eps: float = EPS, p: float = 1.0) -> Column:
+    """Where the curve has the value y, between its ends; straight lines for a slope of 0."""
+    most = math.log(1 / eps - 1)
+    if p == 0:
+        part = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), 2 * y - 1))
+    else:
+        inside = F.least(F.lit(1 - eps), F.greatest(F.lit(eps), y))
+        part = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -F.ln(1 / inside - 1) / (p * most)))
+    return half_at + F.when(part < 0, part * (half_at - zero_at)).otherwise(part * (one_at - half_at))
+
+
+def binomial(n: Column, k: Column) -> Column:
+    """n over k."""
+    few = F.least(k, n - k)
+    terms = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), few).cast("long"))
+    product = F.aggregate(terms, F.lit(1.0), lambda s, i: s * (n - few + i) / i)
+    return F.round(F.when(few > 0, product).when(few == 0, 1.0).otherwise(0.0))
 
 
 def gauss_log_pdf(x: Column, mean, variance) -> Column:

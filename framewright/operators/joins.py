@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +33,33 @@ def owners(hypothesis: DataFrame, truth: DataFrame, keys: list[str], cluster: st
 
 def nearest(rows: DataFrame, templates: DataFrame, vector: str, key: str, name: str, most: int = 4096) -> DataFrame:
     """Each row with its nearest template by squared error, the first of ties. Templates are
-    a stated set whose size is checked before the broadcast; the minimum is taken within
-    the row, so pairs are never shuffled."""
-    if templates.count() > most:
-        raise ValueError(f"more than {most} templates")
-    listed = templates.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v")))).alias("_t"))
+    a stated set, gone through in blocks of about ``most``, which are broadcast; the minimum
+    is taken within the row, so pairs are never shuffled."""
     best = F.array_min(
         F.transform("_t", lambda t: F.struct(F.round(squared_error(F.col(vector), t["v"]), 9).alias("d"), t["id"].alias("id")))
     )
-    return rows.join(F.broadcast(listed)).withColumn("_b", best).drop("_t").withColumn(name, F.col("_b.id")).withColumn("error", F.col("_b.d")).drop("_b")
+    for k, block in enumerate(in_blocks(templates, key, most)):
+        listed = block.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v")))).alias("_t"))
+        rows = rows.join(F.broadcast(listed)).withColumn("_n", best).drop("_t")
+        rows = rows.withColumn("_b", F.least("_b", "_n") if k else F.col("_n")).drop("_n")
+    return rows.withColumn(name, F.col("_b.id")).withColumn("error", F.col("_b.d")).drop("_b")
+
+
+def in_blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``rows`` in as many parts as leave each about ``most`` rows; one of none at least."""
+    count = max(1, -(-rows.count() // most))
+    return [rows.filter(F.pmod(F.xxhash64(key), F.lit(count)) == k) for k in range(count)] if count > 1 else [rows]
 
 
 def pairwise(rows: DataFrame, key: str, vector: str, most: int = 5000) -> DataFrame:
-    """The upper triangle of the distances of a stated, bounded set of rows: ``a, b, d``."""
-    if rows.count() > most:
-        raise ValueError(f"more than {most} rows")
+    """The upper triangle of the distances of a stated set of rows, in blocks of about
+    ``most`` rows against all: ``a, b, d``."""
     a = rows.select(F.col(key).alias("a"), F.col(vector).alias("_va"))
-    b = rows.select(F.col(key).alias("b"), F.col(vector).alias("_vb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", euclid(F.col("_va"), F.col("_vb")).alias("d"))
+    done = []
+    for block in in_blocks(rows, key, most):
+        b = block.select(F.col(key).alias("b"), F.col(vector).alias("_vb"))
+        done.append(a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", euclid(F.col("_va"), F.col("_vb")).alias("d")))
+    return reduce(DataFrame.union, done)
 
 
 def without_known(parts: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:

@@ -51,13 +51,14 @@ def one_vs_rest(matrix: DataFrame) -> DataFrame:
 
 
 def classification(matrix: DataFrame) -> DataFrame:
-    """Over all classes: average omission and commission, misclassification, kappa."""
+    """Over all classes: average omission and commission, to which a class without rows adds
+    nothing, misclassification and kappa."""
     m = one_vs_rest(matrix)
     tp, r, c = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
     n = F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
     one = m.agg(
-        F.avg(F.when(c > 0, (c - tp) / c)).alias("omission"),
-        F.avg(F.when(r > 0, (r - tp) / r)).alias("commission"),
+        F.avg(F.when(c > 0, (c - tp) / c).otherwise(0.0)).alias("omission"),
+        F.avg(F.when(r > 0, (r - tp) / r).otherwise(0.0)).alias("commission"),
         ((n - F.sum(tp)) / n).alias("misclassification"),
         (F.sum(tp) / n).alias("po"),
         (F.sum((r * c).cast("double")) / (n.cast("double") * n)).alias("pe"),
@@ -96,11 +97,12 @@ def error_rate(frames: DataFrame, gt: str, hyp: str, mapping: DataFrame, keep: C
 
 
 def concordance(a: DataFrame, b: DataFrame, key: str, item: str, score: str) -> DataFrame:
-    """The share of pairs of items that two rankings of each row put in the same order; the
-    items of a row are few, and compared within the row."""
+    """The share of pairs of items of which two rankings of each row both put the first one
+    strictly before the second, or both don't; the items of a row are few, and compared
+    within the row."""
     one = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(score).alias("s")))).alias(name))
     both = one(a, "_a").join(one(b, "_b"), key)
-    order = lambda x, i, j: F.signum(F.get(x, i)["s"] - F.get(x, j)["s"])
+    order = lambda x, i, j: F.get(x, i)["s"] < F.get(x, j)["s"]
     n = F.size("_a")
     pairs = F.flatten(
         F.transform(

@@ -10,15 +10,17 @@ from framewright.operators import stats
 
 
 def silence_by_thresholds(frames: DataFrame, energy: str, crossings: str, energy_most: float = 37.442281, crossings_most: float = 1.710257) -> DataFrame:
-    """Marks frames under both thresholds as silence, with a margin as ``p_silence``: half
-    the smaller relative distance, above or below one half."""
-    low_e, low_c = F.col(energy) < energy_most, F.col(crossings) < crossings_most
-    below = F.least(1 - F.col(energy) / energy_most, 1 - F.col(crossings) / crossings_most)
-    above = F.least(F.lit(energy_most) / F.col(energy), F.lit(crossings_most) / F.col(crossings))
-    hit = low_e & low_c
-    return frames.withColumn("p_silence", F.when(hit, below / 2 + 0.5).otherwise(above / 2)).withColumn(
-        "mask", F.when(hit, L.add_exclusive(F.col("mask"), "silence")).otherwise(F.col("mask"))
-    )
+    """Marks the frames under both thresholds, and no others, as silence, with a margin as
+    ``p_silence``: half the smaller of the two features' margins, plus one half for silence.
+    A feature's margin is its relative distance if below its threshold t, else t / feature."""
+
+    def margin(feature: str, most: float) -> Column:
+        return F.when(F.col(feature) < most, 1 - F.col(feature) / most).otherwise(F.lit(most) / F.col(feature))
+
+    hit = (F.col(energy) < energy_most) & (F.col(crossings) < crossings_most)
+    half = F.least(margin(energy, energy_most), margin(crossings, crossings_most)) / 2
+    silence = F.when(hit, L.add_exclusive(F.col("mask"), "silence")).otherwise(L.remove(F.col("mask"), L.MASK["silence"]))
+    return frames.withColumn("p_silence", F.when(hit, half + 0.5).otherwise(half)).withColumn("mask", silence)
 
 
 def silence_by_otsu(frames: DataFrame, energy: str, keys: list[str], bins: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +82,18 @@ def otsu(bins: DataFrame, keys: list[str], total_bins: int) -> DataFrame:
     return best
 
 
-def pareto_density(rows: DataFrame, vector: str, key: str, radius: float, others: DataFrame, block: int = 64) -> DataFrame:
-    """The share of all rows within a radius of each of a stated, bounded set of query rows
-    (``others``). The queries are broadcast in blocks after their number is checked."""
+def pareto_density(rows: DataFrame, vector: str, key: str, radius: float, others: DataFrame, block: int = 4096) -> DataFrame:
+    """The share of all rows within a radius of each of a stated set of query rows
+    (``others``). The queries are broadcast in blocks of about ``block``."""
     from framewright.functions.vectors import squared_error
-
-    asked = others.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    if asked.count() > block * 64:
-        raise ValueError("too many query rows; take a stated set of at most 4096")
-    near = rows.join(F.broadcast(asked), squared_error(F.col(vector), F.col("_q")) <= radius * radius)
-    n = rows.count()
-    return near.groupBy("query").agg((F.count(F.lit(1)) / F.lit(n)).alias("density"))
+    from framewright.operators.joins import in_blocks
+
+    n, done = rows.count(), []
+    for part in in_blocks(others, key, block):
+        asked = part.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+        near = rows.join(F.broadcast(asked), squared_error(F.col(vector), F.col("_q")) <= radius * radius)
+        done.append(near.groupBy("query").agg((F.count(F.lit(1)) / F.lit(n)).alias("density")))
+    return reduce(DataFrame.union, done)
 
 
 def snr(signal: Column, noise: Column) -> Column:

@@ -41,8 +41,13 @@ def scaled(x: str, keys: list[str], factor: float = 1.0) -> Column:
 
 
 def adaptive_threshold(d: str, keys: list[str], pos: str = "fli", alpha: float = 1.2, most: int = 4) -> Column:
-    """alpha times the mean of the last distances, at most ``most`` of them."""
-    return F.avg(d).over(_by(keys, pos).rowsBetween(1 - most, 0)) * alpha
+    """alpha times the mean of the last distances, at most ``most`` of them and none of a
+    row's own index of 0: as many as rows come before; 0 for the first row."""
+    by = _by(keys, pos)
+    before = F.row_number().over(by) - 1
+    total = F.sum(d).over(by.rowsBetween(1 - most, 0))
+    first = F.first(d).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(before == 0, 0.0).when(before < most, (total - first) / before).otherwise(total / most) * alpha
 
 
 def median3(x: str, keys: list[str], pos: str = "fli") -> Column:

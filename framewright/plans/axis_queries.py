@@ -112,7 +112,8 @@ def sliding_row_count(spark, sf):
 
 @query(
     "math_scalars",
-    """SELECT event_id, round(1 / (1 + exp(-(CASE WHEN value < 50 THEN (value - 50) * (ln(99) / 50) ELSE (value - 50) * (ln(99) / 70) END))), 6) AS sig,
+    """SELECT event_id, round(CASE WHEN value < 0 THEN 0 WHEN value < 50 THEN 1 / (1 + exp(13.81550955796377::DOUBLE * (1 - value / 50)))
+       WHEN value < 120 THEN 1 / (1 + exp(-13.81551055796427::DOUBLE * (value - 50) / 70)) ELSE 1 END, 6) AS sig,
        round(CASE WHEN value > 0 THEN ln(value) ELSE -705 END, 6) AS lg,
        round(-0.5 * (ln(2 * pi() * 4) + (value - 50) * (value - 50) / 4), 6) AS gauss,
        round((value - 0) / 100 * 2 - 1, 6) AS scaled FROM events""",
@@ -346,7 +347,12 @@ def cmn(spark, sf):
     return rounded(frames(spark, sf).select("event_id", W.mean_removed("x", KEYS).alias("d")), "d", digits=9)
 
 
-@query("adaptive_threshold", f", t AS (SELECT event_id, round(1.2 * avg(x) OVER (PARTITION BY file_id ORDER BY fli ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS d FROM frames) SELECT * FROM t")
+@query(
+    "adaptive_threshold",
+    """, o AS (SELECT event_id, file_id, x, row_number() OVER (PARTITION BY file_id ORDER BY fli) - 1 AS k FROM frames),
+    s AS (SELECT a.event_id, a.k, sum(b.x) AS s FROM o a JOIN o b ON a.file_id = b.file_id AND b.k <= a.k AND b.k > a.k - least(4, a.k) GROUP BY ALL)
+    SELECT event_id, round(coalesce(1.2 * s / least(4, o.k), 0), 6) AS d FROM o LEFT JOIN s USING (event_id)""",
+)
 def adaptive_threshold(spark, sf):
     return rounded(frames(spark, sf).select("event_id", W.adaptive_threshold("x", KEYS).alias("d")), "d")
 

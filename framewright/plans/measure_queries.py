@@ -236,13 +236,22 @@ def subband_power(spark, sf):
 
 @query(
     "spectral_flux",
-    SPECTRUM + """, p AS (SELECT *, lag(p) OVER (PARTITION BY file_id ORDER BY frame) AS u FROM f)
-    SELECT file_id, frame, round(list_sum([(ln(p[k] + 1) - ln(u[k] + 1)) ** 2 FOR k IN range(1, 9)]) / 8, 6) AS flux FROM p WHERE u IS NOT NULL""",
+    SPECTRUM.replace("AS p FROM w", "AS p, v FROM w") + """, g AS (SELECT file_id, frame, [ln(sqrt(y) + 2.220446049250313e-16) FOR y IN list_concat([list_sum(v) ** 2], p)] AS l FROM f),
+    u AS (SELECT *, lag(l) OVER (PARTITION BY file_id ORDER BY frame) AS u FROM g),
+    x AS (SELECT file_id, frame, list_sum([(l[k] - u[k]) ** 2 FOR k IN range(1, 10)]) / 8 AS flux FROM u),
+    y AS (SELECT file_id, frame, coalesce(flux, lead(flux) OVER (PARTITION BY file_id ORDER BY frame)) AS flux FROM x)
+    SELECT file_id, frame, round(flux, 6) AS flux FROM y WHERE flux IS NOT NULL""",
 )
 def spectral_flux(spark, sf):
-    f = spectra(spark, sf).withColumn("u", F.expr("lag(p) over (partition by file_id order by frame)")).filter("u is not null")
-    logs = lambda c: F.transform(F.col(c), lambda v: F.ln(v + 1))
-    return rounded(f.select("file_id", "frame", (V.squared_error(logs("p"), logs("u")) / 8).alias("flux")), "flux")
+    """Squared differences of the logarithms of magnitudes, with the machine's epsilon, over
+    all nine bins; the first frame has its successor's value."""
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    powers = F.concat(F.array(total * total), V.power_spectrum(F.col("samples"), 16, 8))
+    f = framed(spark, sf).select("file_id", "frame", F.transform(powers, lambda y: F.ln(F.sqrt(y) + 2.220446049250313e-16)).alias("l"))
+    by = "over (partition by file_id order by frame)"
+    f = f.withColumn("u", F.expr(f"lag(l) {by}")).withColumn("flux", V.squared_error(F.col("l"), F.col("u")) / 8)
+    f = f.withColumn("flux", F.coalesce("flux", F.expr(f"lead(flux) {by}"))).filter("flux is not null")
+    return rounded(f.select("file_id", "frame", "flux"), "flux")
 
 
 @query(
@@ -398,7 +407,7 @@ def kappa(spark, sf):
     return rounded(S.classification(trade(spark, sf)).select("kappa"), "kappa")
 
 
-@query("omission_commission", TRADE + " SELECT round(avg((c - tp) / c), 6) AS omission, round(avg((r - tp) / r), 6) AS commission, round((max(al) - sum(tp)) / max(al), 6) AS misclassification FROM o")
+@query("omission_commission", TRADE + " SELECT round(avg(coalesce((c - tp) / nullif(c, 0), 0)), 6) AS omission, round(avg(coalesce((r - tp) / nullif(r, 0), 0)), 6) AS commission, round((max(al) - sum(tp)) / max(al), 6) AS misclassification FROM o")
 def omission_commission(spark, sf):
     c = S.classification(trade(spark, sf)).drop("kappa")
     return rounded(c, *c.columns)
@@ -428,7 +437,7 @@ def bbn_metric(spark, sf):
     "concordance",
     """WITH s AS (SELECT ps.file AS f, ps.item AS i, ps.a AS a, ps.b AS b FROM (SELECT l_suppkey % 10 AS file, l_partkey % 6 AS item,
       sum(l_quantity)::DOUBLE AS a, sum(l_extendedprice)::DOUBLE AS b FROM lineitem GROUP BY ALL) ps),
-    p AS (SELECT sign(round(x.a - y.a, 4)) = sign(round(x.b - y.b, 4)) AS same FROM s x JOIN s y ON x.f = y.f AND x.i < y.i)
+    p AS (SELECT (round(x.a - y.a, 4) < 0) = (round(x.b - y.b, 4) < 0) AS same FROM s x JOIN s y ON x.f = y.f AND x.i < y.i)
     SELECT round(count(*) FILTER (same) / count(*), 6) AS concordance FROM p""",
 )
 def concordance(spark, sf):

@@ -20,11 +20,11 @@ def framed(spark, sf, size=32, step=16):
 @query(
     "silence_thresholds",
     """, e AS (SELECT event_id, mask, x AS energy, x / 20 AS zcr FROM frames), h AS (SELECT *, energy < 37.442281::DOUBLE AND zcr < 1.710257::DOUBLE AS hit FROM e)
-    SELECT event_id, CAST(CASE WHEN hit THEN 131072 ELSE mask END AS BIGINT) AS mask, round(CASE WHEN hit THEN least(1 - energy / 37.442281::DOUBLE, 1 - zcr / 1.710257::DOUBLE) / 2 + 0.5
-      ELSE least(37.442281::DOUBLE / energy, 1.710257::DOUBLE / zcr) / 2 END, 6) AS p_silence FROM h WHERE energy > 0""",
+    SELECT event_id, CAST(CASE WHEN hit THEN 131072 ELSE mask & ~131072 END AS BIGINT) AS mask, round(least(CASE WHEN energy < 37.442281::DOUBLE THEN 1 - energy / 37.442281::DOUBLE ELSE 37.442281::DOUBLE / energy END,
+      CASE WHEN zcr < 1.710257::DOUBLE THEN 1 - zcr / 1.710257::DOUBLE ELSE 1.710257::DOUBLE / zcr END) / 2 + CASE WHEN hit THEN 0.5 ELSE 0 END, 6) AS p_silence FROM h""",
 )
 def silence_thresholds(spark, sf):
-    f = frames(spark, sf).select("event_id", "mask", F.col("x").alias("energy"), (F.col("x") / 20).alias("zcr")).filter("energy > 0")
+    f = frames(spark, sf).select("event_id", "mask", F.col("x").alias("energy"), (F.col("x") / 20).alias("zcr"))
     out = segmentation.silence_by_thresholds(f, "energy", "zcr")
     return rounded(out.select("event_id", F.col("mask").cast("long").alias("mask"), "p_silence"), "p_silence")
 

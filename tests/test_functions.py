@@ -41,8 +41,15 @@ def test_time(spark):
 
 def test_math(spark):
     assert one(spark, mathx.sigmoid(F.lit(5.0), 0.0, 5.0, 20.0)) == 0.5
-    assert math.isclose(one(spark, mathx.sigmoid(F.lit(0.0), 0.0, 5.0, 20.0)), 0.01)
-    assert math.isclose(one(spark, mathx.inverse_sigmoid(F.lit(0.99), 0.0, 5.0, 20.0)), 20.0)
+    # by hand: exactly 0 and 1 outside, eps / (1 + eps) at the lower end, half the exponent half-way
+    assert one(spark, mathx.sigmoid(F.lit(-0.1), 0.0, 5.0, 20.0)) == 0 and one(spark, mathx.sigmoid(F.lit(20.0), 0.0, 5.0, 20.0)) == 1
+    assert math.isclose(one(spark, mathx.sigmoid(F.lit(0.0), 0.0, 5.0, 20.0, eps=0.01)), 1 / 101)
+    assert math.isclose(one(spark, mathx.sigmoid(F.lit(2.5), 0.0, 5.0, 20.0, eps=0.01)), 1 / 11)
+    assert math.isclose(one(spark, mathx.sigmoid(F.lit(2.5), 0.0, 5.0, 20.0, eps=0.01, p=2.0)), 1 / 101)
+    assert one(spark, mathx.sigmoid(F.lit(-1.0), 20.0, 5.0, 0.0)) == 1 and one(spark, mathx.sigmoid(F.lit(21.0), 20.0, 5.0, 0.0)) == 0
+    assert math.isclose(one(spark, mathx.inverse_sigmoid(F.lit(0.99), 0.0, 5.0, 20.0, eps=0.01)), 20.0)
+    assert one(spark, mathx.inverse_sigmoid(F.lit(0.75), 0.0, 5.0, 20.0, p=0.0)) == 12.5
+    assert math.isclose(one(spark, mathx.binomial(F.lit(100), F.lit(80))), math.comb(100, 80))
     assert one(spark, mathx.safe_log(F.lit(0.0))) == -705
     assert math.isclose(one(spark, mathx.log_add(F.lit(-1000.0), F.lit(-1000.0))), -1000 + math.log(2))
     assert one(spark, mathx.binomial(F.lit(10), F.lit(3))) == 120

@@ -133,3 +133,59 @@ def test_clusters_hold_every_vector(spark, sf_dir):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
     assert {r["vec_id"] for r in rows} == ids and len(rows) == len(ids)
     assert len({r["cluster"] for r in rows}) == 3 and {r["cluster"] for r in rows} <= ids
+
+
+def test_adaptive_threshold_by_hand(spark):
+    """alpha / N times the last N = min(most, index) distances; 0 for the first."""
+    from framewright.operators import windows
+
+    df = spark.createDataFrame([(1, k, float(10**k)) for k in range(6)], "f int, fli int, d double")
+    got = [r["t"] for r in df.select("fli", windows.adaptive_threshold("d", ["f"], alpha=2.0, most=3).alias("t")).orderBy("fli").collect()]
+    assert got == pytest.approx([0, 20, 110, 2 * 1110 / 3, 2 * 11100 / 3, 2 * 111000 / 3])
+
+
+def test_classes_without_rows_count_as_nothing(spark):
+    """Three classes of which one has no hypothesis and one no truth."""
+    from framewright.operators import scores
+
+    m = spark.createDataFrame([("a", "a", 6), ("a", "b", 2), ("c", "a", 2)], "hyp string, gt string, n long")
+    r = scores.classification(m).first()
+    # omission: a 2/8, b 2/2, c 0; commission: a 2/8, b 0, c 2/2
+    assert (r["omission"], r["commission"]) == pytest.approx((1.25 / 3, 1.25 / 3)) and r["misclassification"] == pytest.approx(0.4)
+
+
+def test_concordance_of_ties(spark):
+    """Pairs (1,2), (1,3), (2,3): less in a: no, yes, yes; in b: no, yes, no (a tie)."""
+    from framewright.operators import scores
+
+    rows = lambda s: spark.createDataFrame([(1, k + 1, v) for k, v in enumerate(s)], "f int, i int, s double")
+    got = scores.concordance(rows([2.0, 1.0, 3.0]), rows([1.0, 1.0, 1.5]), "f", "i", "s").first()[0]
+    assert got == pytest.approx(1.0)
+    got = scores.concordance(rows([2.0, 1.0, 3.0]), rows([1.0, 0.5, 0.5]), "f", "i", "s").first()[0]
+    assert got == pytest.approx(1 / 3)
+
+
+def test_silence_margins_by_hand(spark):
+    from framewright.functions import labels as L
+    from framewright.operators import segmentation
+
+    both = L.MASK["silence"]
+    df = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, both, 2.0, 8.0), (2, 0, 20.0, 8.0), (3, 0, 0.0, 8.0), (4, 0, 8.0, 1.0)], "k int, mask long, e double, z double")
+    got = [(r["p_silence"], r["mask"] & both != 0) for r in segmentation.silence_by_thresholds(df, "e", "z", 10.0, 4.0).orderBy("k").collect()]
+    # 1: min(1 - 2/10, 4/8) / 2; 2: min(10/20, 4/8) / 2; 3: min(1, 4/8) / 2; 4: min(1 - 8/10, 1 - 1/4) / 2 + 1/2
+    assert [p for p, _ in got] == pytest.approx([1.0, 0.25, 0.25, 0.25, 0.6])
+    assert [s for _, s in got] == [True, False, False, False, True]
+
+
+def test_stated_sets_in_blocks(spark):
+    """Beyond one block the results are the same."""
+    from framewright.operators import joins, stats
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=3)]) for k in range(60)], "k long, v array<double>")
+    near = lambda most: joins.nearest(df, df.filter("k % 3 = 0").select(F.col("k"), "v"), "v", "k", "owner", most).select("k", "owner").orderBy("k").collect()
+    assert near(4096) == near(4)
+    pairs = lambda most: sorted(map(tuple, joins.pairwise(df, "k", "v", most).collect()))
+    assert pairs(5000) == pairs(9) and len(pairs(9)) == 60 * 59 // 2
+    dense = lambda block: sorted(map(tuple, stats.pareto_density(df, "v", "k", 1.0, df.filter("k % 2 = 0"), block).collect()))
+    assert dense(4096) == dense(7) and len(dense(7)) == 30
