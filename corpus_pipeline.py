@@ -13,6 +13,13 @@ again. All stages but the last return the columns of ``documents``.
    document with the smallest id stays.
 4. leaks: documents that overlap with an item of the benchmark go.
 5. packing: what is left is tokenised and packed into sequences of at most 1024 tokens.
+
+Defined results: a null or empty text has no language and goes in the first stage; a null id
+is an id like any other for the exact stage, links with nothing in the near stage, and is
+judged by its own text in the leaks stage; of rows that repeat id and text one stays, from
+the exact stage on; ties go to the smallest id; very long texts are worked on as a whole; an
+empty table passes through all stages as an empty table; columns that ``documents`` doesn't
+have are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
