@@ -170,3 +170,28 @@ def test_html(spark):
     got = sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract(pages(spark, PAGES)).collect())
     assert [t for _, t in got[:6]] == ["one", "one", "one", "one", "", ""] and len(got[6][1]) == 99_999
     assert html_text.extract(pages(spark, PAGES).limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Nulls, repeated rows, ties, long and empty texts, clashing columns and an empty table
+    through every stage."""
+    import corpus_pipeline as P
+
+    sf = str(tmp_path)
+    items = [(1, "the quick brown fox jumps over the lazy dog and then sleeps all day")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = [(*r, "s", 1, "clash", 7) for r in ROWS] + [(20, items[0][1], "en", "s", 1, "clash", 7), (None, items[0][1] + " x", "en", "s", 1, "clash", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, label string, _i bigint")
+    kept = {}
+    for name, stage in P.STAGES:
+        out = P.written(stage(spark, df, sf), name)
+        if name != "packing":
+            assert out.columns == P.COLUMNS
+            assert stage(spark, df.limit(0), sf).count() == 0
+            kept[name] = sorted((r["doc_id"] or 0) for r in out.collect())
+            df = out
+    assert kept["language"] == [0, 0, 1, 1, 5, 6, 7, 20]
+    assert kept["exact"] == [0, 0, 1, 5, 6, 20]
+    assert kept["near"] == [0, 0, 1, 5, 6, 20]
+    assert kept["leaks"] == [0, 1, 5, 6]
+    assert sorted({(r["doc_id"] or 0) for r in out.collect()}) == [0, 1, 5, 6]
