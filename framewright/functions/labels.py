@@ -27,6 +27,7 @@ SPEECH_FAMILY = _mask(
 NOISE_FAMILY = _mask("noise", "action", "background", "breath", "music", "undefined", "noiseBoundary")
 DETAILED = _mask("music", "action", "background", "breath", "pureSpeech", "noisySpeech", "undefined")
 _SILENCE = MASK["silence"]
+# Exclusions, opposites and parents of the label schema.
 #: For each label those that cannot hold at the same time; others exclude nothing.
 EXCLUSIVE = {
     "noise": _SILENCE | SPEECH_FAMILY,
@@ -101,6 +102,16 @@ def names(mask: Column, separator: str = ",") -> Column:
     return F.concat_ws(separator, *parts)
 
 
+def is_opposite(mask: Column, name: str) -> Column:
+    """Whether a mask has a label that is the opposite of the named one."""
+    return has_any(mask, OPPOSITE.get(name, 0))
+
+
+def below(mask: Column, of: str) -> Column:
+    """Whether a mask has a label that is a subtype of the named one."""
+    return has_any(mask, sum(m for n, m in MASK.items() if is_subtype(n, of)))
+
+
 def is_subtype(name: str, of: str) -> bool:
     """Whether a label is below another in the hierarchy of types."""
     return PARENT.get(name) == of or (PARENT.get(name) is not None and is_subtype(PARENT[name], of))

@@ -80,3 +80,39 @@ def is_power_of_two(x: Column) -> Column:
 def intersect(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Length that two closed intervals share."""
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2) + 1)
+
+
+def round_half_away(x: Column) -> Column:
+    """Cut after half a unit was added away from zero."""
+    return F.when(x > 0, x + 0.5).otherwise(x - 0.5).cast("long")
+
+
+def clamp(low, x: Column, high) -> Column:
+    return F.greatest(F.lit(low), F.least(x, F.lit(high)))
+
+
+def is_finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def uniform(*key: Column, salt: str = "") -> Column:
+    """A draw from [0, 1) that is a function of the row's key and the salt. Unlike ``rand``
+    it is the same in whatever partition the row is, and after a lost task has run again."""
+    digest = F.md5(F.concat_ws(":", F.lit(salt), *[k.cast("string") for k in key]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
+
+
+def normal(*key: Column, mean: float = 0.0, sd: float = 1.0, salt: str = "") -> Column:
+    """A Gaussian draw, by Box and Muller, of two uniform ones."""
+    u, v = uniform(*key, salt=salt + "u"), uniform(*key, salt=salt + "v")
+    return mean + sd * F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def categorical(weights: list[float], *key: Column, salt: str = "") -> Column:
+    """The number of the class drawn with probabilities in proportion to ``weights``."""
+    u, total = uniform(*key, salt=salt), sum(weights)
+    upto, out = 1.0, F.lit(len(weights) - 1)
+    for k in range(len(weights) - 1, 0, -1):
+        upto -= weights[k] / total
+        out = F.when(u < upto, F.lit(k - 1)).otherwise(out)
+    return out

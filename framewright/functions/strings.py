@@ -70,3 +70,19 @@ def token(line: Column, separators: str, number: int) -> Column:
     """The number-th non-empty token, from 1; null if there are fewer."""
     parts = F.array_remove(F.split(line, f"[{re.escape(separators)}]+"), "")
     return F.get(parts, F.lit(number - 1))
+
+
+def replaced(text: Column, old: str, new: str) -> Column:
+    """One character for another."""
+    return F.translate(text, old, new)
+
+
+def number_token(line: Column, separators: str, number: int, kind: str = "double") -> Column:
+    """The number-th token as a number; null if it is none."""
+    return token(line, separators, number).try_cast(kind)
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a text; an unfinished last line counts, none follows the last line break."""
+    whole = F.length(text) - F.length(F.translate(text, "\n", ""))
+    return F.when(F.length(text) == 0, 0).when(text.endswith("\n"), whole).otherwise(whole + 1)

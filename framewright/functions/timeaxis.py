@@ -35,12 +35,29 @@ def ms_to_frame(ms: Column, rate: int, size: int, step: int) -> Column:
     return sample_to_frame(ms_to_sample(ms, rate), size, step)
 
 
-def sample_to_video_frame(sample: Column, rate: int, fps: float) -> Column:
-    return F.floor(sample / F.lit(rate / fps)).cast("long")
+def sample_to_video_frame(sample: Column, rate: int, fps: float, end: bool = False) -> Column:
+    """The video frame whose start (or end) is nearest; a video frame need not be a whole
+    number of samples."""
+    size = F.lit(rate / fps)
+    if not end:
+        return F.round(sample / size).cast("long")
+    return F.when(sample < size, F.lit(0).cast("long")).otherwise(F.round((sample - size) / size).cast("long") + 1)
+
+
+def video_frame_to_sample(frame: Column, rate: int, fps: float, end: bool = False) -> Column:
+    size = F.lit(rate / fps)
+    return F.round(frame * size + (size - 1 if end else F.lit(0.0))).cast("long")
+
+
+def ms_to_sample_fraction(ms: Column, rate: int, end: bool = False) -> Column:
+    """``ms_to_sample`` of fractions of a millisecond."""
+    per = rate // 1000
+    return F.floor(ms * per).cast("long") + (per - 1 if end else 0)
 
 
-def video_frame_to_sample(frame: Column, rate: int, fps: float) -> Column:
-    return F.round(frame * F.lit(rate / fps)).cast("long")
+def frequency_to_quefrency(hz: Column) -> Column:
+    """The reciprocal, which is its own inverse; null at zero."""
+    return F.when(hz != 0, 1 / hz)
 
 
 def row_count(n: Column, size: int, step: int) -> Column:

@@ -112,3 +112,32 @@ def normalised_correlation(a: Column, b: Column, lag: int, n: int) -> Column:
     """Of the first n - lag values of one frame with those from ``lag`` on of the other."""
     x, y = F.slice(a, 1, n - lag), F.slice(b, lag + 1, n - lag)
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
+def reverse(x: Column) -> Column:
+    return F.reverse(x)
+
+
+def edge_tapered(x: Column, kind: str, n: int, part: float) -> Column:
+    """The window's rise over the first, and its fall over the last ``part`` of n values; the
+    middle is kept."""
+    edge = min(int(n * part), n // 2)
+    shape = window(kind, 2 * edge)
+    weights = shape[:edge] + [1.0] * (n - 2 * edge) + shape[edge:]
+    return F.zip_with(x, F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b)
+
+
+def log_determinant(triangle: Column, size: int) -> Column:
+    """Log determinant of a symmetric positive definite matrix of up to three rows, given
+    as its upper triangle by rows; null if it isn't positive."""
+    m = [F.get(triangle, F.lit(k)) for k in range(size * (size + 1) // 2)]
+    if size == 1:
+        det = m[0]
+    elif size == 2:
+        det = m[0] * m[2] - m[1] * m[1]
+    elif size == 3:
+        a, b, c, d, e, f = m
+        det = a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)
+    else:
+        raise ValueError("larger matrices go through numpy")
+    return F.when(det > 0, F.ln(det))

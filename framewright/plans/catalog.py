@@ -7,6 +7,7 @@ from framewright.plans import (  # noqa: F401
     diarize,
     measure_queries,
     model_queries,
+    scalar_queries,
     signal_queries,
     stream_queries,
     update_queries,
