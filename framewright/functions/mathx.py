@@ -116,3 +116,12 @@ def categorical(weights: list[float], *key: Column, salt: str = "") -> Column:
         upto -= weights[k] / total
         out = F.when(u < upto, F.lit(k - 1)).otherwise(out)
     return out
+
+
+def magnitude_bin(x: Column, per_octave: int = 256) -> Column:
+    """A whole number that never falls as x grows, with ``per_octave`` steps from a value to
+    twice that value: the key by which running sums over all values become running sums
+    inside one bin, on top of those of the bins before."""
+    v, zero = x.cast("double"), 1100 * per_octave
+    step = lambda y: F.floor(F.least(F.log2(y), F.lit(1025.0)) * per_octave) + zero
+    return F.when(F.isnan(v), 2 * zero).when(v > 0, step(v)).when(v < 0, -step(-v)).otherwise(F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.functions.mathx import intersect
+from framewright.functions.mathx import intersect, magnitude_bin
 from framewright.functions.vectors import euclid, squared_error
 
 
@@ -88,9 +88,13 @@ def wildcard(parts: DataFrame, rules: DataFrame, columns: list[str], most: int =
 
 
 def ids_of(rows: DataFrame, name: str, order: Column) -> DataFrame:
-    """A dense id for each distinct name, by its first occurrence, from 0."""
-    first = rows.groupBy(name).agg(F.min(order).alias("_o"))
-    return first.select(name, (F.row_number().over(Window.orderBy("_o", name)) - 1).alias("id"))
+    """A dense id for each distinct name, by its first occurrence, from 0. ``order`` is a
+    number; names are numbered inside bins of it, on top of the names of the bins before."""
+    first = rows.groupBy(name).agg(F.min(order).alias("_o")).withColumn("_b", magnitude_bin(F.col("_o")))
+    sizes = first.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # a row a bin
+    before = sizes.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_o", name)) - 1
+    return first.withColumn("_r", own).join(before, "_b").select(name, (F.col("_before") + F.col("_r")).alias("id"))
 
 
 def matched_boundaries(found: DataFrame, truth: DataFrame, keys: list[str], pos: str, within: int) -> DataFrame:

@@ -85,7 +85,10 @@ def previous(value: Column, keys: list[str], pos: str = "fli") -> Column:
 
 
 def following(value: Column, keys: list[str], pos: str = "fli") -> Column:
-    return F.first(value, ignorenulls=True).over(_by(keys, pos).rowsBetween(0, Window.unboundedFollowing))
+    """The first value that is not null, from this frame on. The axis is gone through from
+    its end: a frame that only grows costs one step a row."""
+    backwards = Window.partitionBy(*keys).orderBy(F.col(pos).desc())
+    return F.last(value, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def split_long(run_table: DataFrame, most: int) -> DataFrame:
@@ -95,10 +98,55 @@ def split_long(run_table: DataFrame, most: int) -> DataFrame:
     return cut.withColumn("end", F.least(F.col("end"), F.col("_s") + most - 1)).withColumn("start", F.col("_s")).drop("_s")
 
 
-def pseudo_scenes(frames: DataFrame, speech: Column, length: int, keys: list[str], pos: str = "fli") -> DataFrame:
-    """Boundaries about every ``length`` frames, each moved to the next frame without
-    speech: ``keys, scene, boundary``. The first frame is a boundary."""
-    slot = F.floor(F.col(pos) / length)
-    found = frames.filter(~speech).groupBy(*keys, slot.alias("scene")).agg(F.min(pos).alias("boundary"))
-    first = frames.filter(F.col(pos) == 0).select(*keys, F.lit(0).cast("long").alias("scene"), F.col(pos).cast("long").alias("boundary"))
-    return first.unionByName(found.filter("scene > 0").select(*keys, "scene", F.col("boundary").cast("long").alias("boundary")))
+def pseudo_scenes(frames: DataFrame, speech: Column, length: int, keys: list[str], pos: str = "fli", pause: int = 1) -> DataFrame:
+    """Boundaries about every ``length`` frames, counted from the last one: ``keys, scene,
+    boundary``. The first frame is a boundary. One that would fall on speech goes behind it,
+    and on by half the way to the next speech, but by ``pause`` frames at least; after the
+    last speech it stays right behind.
+
+    Where a boundary at a frame would go to is an expression; the walk from one boundary to
+    the next streams through the files in order, and holds no file."""
+    import numpy as np
+    import pandas as pd
+
+    f = frames.select(*keys, F.col(pos).cast("long").alias("_pos"), speech.alias("_speech"))
+    f = f.withColumn("_next", following(F.when(F.col("_speech"), F.col("_pos")), keys, "_pos"))
+    free = F.when(~F.col("_speech"), F.struct(F.col("_pos").alias("open"), F.col("_next").alias("next")))
+    f = f.withColumn("_free", following(free, keys, "_pos"))
+    way = F.greatest(F.floor((F.col("_free.next") - F.col("_free.open")) / 2), F.lit(pause))
+    to = F.when(~F.col("_speech"), F.col("_pos")).otherwise(F.col("_free.open") + F.coalesce(way, F.lit(0)))
+    f = f.select(*keys, "_pos", to.cast("double").alias("_to"), (F.row_number().over(_by(keys, "_pos")) == 1).alias("_first"))
+
+    def walk(batches):
+        want, settled, scene = np.inf, True, 0
+        for batch in batches:
+            at, goal, first = batch["_pos"].to_numpy(), batch["_to"].to_numpy(dtype=float), batch["_first"].to_numpy()
+            starts = np.unique(np.concatenate([[0], np.flatnonzero(first)])).tolist() if len(at) else []
+            hits, scenes = [], []
+            for i, j in zip(starts, [*starts[1:], len(at)]):
+                if first[i]:
+                    want, settled, scene = at[i], True, 0
+                while want < np.inf and (r := i + int(np.searchsorted(at[i:j], want))) < j:
+                    if settled or goal[r] == at[r]:
+                        hits.append(r)
+                        scenes.append(scene)
+                        want, settled, scene = at[r] + length, False, scene + 1
+                    else:
+                        want, settled = (np.inf if np.isnan(goal[r]) else goal[r]), True
+            out = batch.iloc[hits][[*keys, "_pos"]].rename(columns={"_pos": "boundary"})
+            out.insert(len(keys), "scene", pd.Series(scenes, index=out.index, dtype="int64"))
+            yield out
+
+    fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in f.select(*keys).schema.fields)
+    dealt = f.repartition(*keys).sortWithinPartitions(*keys, "_pos")
+    return dealt.mapInPandas(walk, f"{fields}, scene bigint, boundary bigint")
+
+
+def scene_window(frames: DataFrame, scene: str, first: int, last: int, selection: int = 0) -> DataFrame:
+    """Frames of the scenes ``first`` to ``last``, of those whose bit is set in a
+    ``selection`` that isn't 0."""
+    chosen = F.col(scene).between(first, last)
+    if selection:
+        bit = F.getbit(F.lit(selection).cast("long"), F.least(F.col(scene), F.lit(62)).cast("int"))
+        chosen &= (F.col(scene) < 63) & (bit == 1)
+    return frames.filter(chosen)

@@ -40,6 +40,24 @@ def counts(rows: DataFrame, hyp: Column, gt: Column, keys=()) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
 
 
+def flipped(found: DataFrame) -> DataFrame:
+    """``tp, fp, fn, tn`` with the other class as the positive one."""
+    return found.withColumnsRenamed({"tp": "_a", "fp": "_b"}).withColumnsRenamed({"tn": "tp", "fn": "fp"}).withColumnsRenamed({"_a": "tn", "_b": "fn"})
+
+
+def voicing_scores(frames: DataFrame, hypothesis: str, truth: str, keys=()) -> DataFrame:
+    """``tp, fp, fn, tn`` of voiced against unvoiced frames, of those that are speech in both
+    masks and either in both."""
+    from framewright.functions import labels as L
+
+    either = L.MASK["voiced"] | L.MASK["unvoiced"]
+    both = frames
+    for c in (hypothesis, truth):
+        both = both.filter(L.has_any(F.col(c), L.MASK["speech"]) & L.has_any(F.col(c), either))
+    voiced = lambda c: L.has_any(F.col(c), L.MASK["voiced"])
+    return counts(both, voiced(hypothesis), voiced(truth), keys)
+
+
 def one_vs_rest(matrix: DataFrame) -> DataFrame:
     """``class, tp, fp, fn, tn`` for each class of a long matrix."""
     n = matrix.agg(F.sum("n").alias("all"))

@@ -34,6 +34,42 @@ def silence_by_otsu(frames: DataFrame, energy: str, keys: list[str], bins: int =
     return out.withColumn("mask", F.when(hit, L.add_exclusive(F.col("mask"), "silence")).otherwise(F.col("mask"))).drop("_bin", "threshold_bin")
 
 
+def otsu_level(rows: DataFrame, x: str, keys: list[str], bins: int) -> DataFrame:
+    """``keys, level``: the mean of the bin behind the best division of a histogram, or of
+    the next lower bin with a mean above 0, or else of the next higher one."""
+    h = stats.histogram(rows, x, bins, keys)
+    joined = h.join(stats.otsu(h, keys, bins).withColumn("_t", F.col("threshold_bin") + 1).select(*keys, "_t"), keys)
+    some = F.col("mean") > 0
+    low = F.max_by("mean", F.when(some & (F.col("bin") <= F.col("_t")), F.col("bin")))
+    high = F.min_by("mean", F.when(some & (F.col("bin") > F.col("_t")), F.col("bin")))
+    return joined.groupBy(*keys).agg(F.coalesce(low, high).alias("level"))
+
+
+def voicing_by_otsu(frames: DataFrame, features: list[str], keys: list[str], bins: int = 10) -> DataFrame:
+    """Unvoiced speech among the pauses and silence of each file: frames over the Otsu level
+    of any feature (energy, crossings) are unvoiced noisy speech, what stays silence is
+    nothing else, and other speech but pauses is voiced. ``p_unvoiced`` is the relative
+    distance to the last feature's level from above, feature / level below it; null for
+    frames that were no candidates."""
+    clean = frames.withColumn("mask", L.remove(F.col("mask"), L.MASK["voiced"] | L.MASK["unvoiced"]))
+    asked = L.matches(F.col("mask"), L.MASK["pause"] | L.MASK["silence"], without=L.MASK["noise"])
+    out, hit = clean.withColumn("_asked", asked), F.lit(False)
+    for k, x in enumerate(features):
+        level = otsu_level(out.filter("_asked"), x, keys, bins).withColumnRenamed("level", f"_l{k}")
+        out = out.join(level, keys, "left")
+        hit = hit | (F.col(x) > F.col(f"_l{k}"))
+    x, level = F.col(features[-1]), F.col(f"_l{len(features) - 1}")
+    out = out.withColumn("p_unvoiced", F.when(F.col("_asked"), F.when(x > level, 1 - level / x).otherwise(x / level)))
+    unvoiced = F.col("mask")
+    for name in ("speech", "noisySpeech", "unvoiced"):
+        unvoiced = L.add_exclusive(unvoiced, name)
+    new = F.when(F.col("_asked") & hit, unvoiced).otherwise(F.col("mask"))
+    out = out.withColumn("mask", new)
+    silent, spoken = L.has_any(F.col("mask"), L.MASK["silence"]), L.matches(F.col("mask"), L.MASK["speech"], without=L.MASK["unvoiced"] | L.MASK["pause"])
+    out = out.withColumn("mask", F.when(silent, L.add_exclusive(F.col("mask"), "silence")).when(spoken, L.add_exclusive(F.col("mask"), "voiced")).otherwise(F.col("mask")))
+    return out.select(*frames.columns, "p_unvoiced")
+
+
 def voicing(frames: DataFrame, pitch: Column) -> DataFrame:
     """Speech frames with a pitch are voiced, others unvoiced."""
     speech = L.has_any(F.col("mask"), L.MASK["speech"])

@@ -8,16 +8,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def percentiles(rows: DataFrame, x: str, wanted: dict[int, Column], keys: list[str]) -> DataFrame:
+    """``keys, p, value``: for each p the value whose rank, from 1, is ``wanted[p]``, an
+    expression of the row count ``_n``. Counts of values go into bins of their size; a rank
+    is looked up among the bins first and then inside one, so no task sorts all values."""
+    from framewright.functions.mathx import magnitude_bin
+
+    kept = rows.filter(F.col(x).isNotNull())
+    counted = kept.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", magnitude_bin(F.col(x)))
+    bins = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    bins = bins.withColumn("_n", F.sum("_s").over(w)).withColumn("_upto", F.sum("_s").over(w.orderBy("_b")))
+    asked = F.array(*[F.struct(F.lit(p).alias("p"), r.cast("long").alias("rank")) for p, r in wanted.items()])
+    bins = bins.withColumn("_q", F.filter(asked, lambda q: (q["rank"] <= F.col("_upto")) & (q["rank"] > F.col("_upto") - F.col("_s"))))
+    found = bins.filter(F.size("_q") > 0).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_found"), "_q", (F.col("_upto") - F.col("_s")).alias("_before"))
+    same = F.col("_b") == F.col("_found")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = counted.join(found, same)
+    inside = inside.withColumn("_u", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(x)))
+    hit = F.filter("_q", lambda q: (q["rank"] <= F.col("_u")) & (q["rank"] > F.col("_u") - F.col("_c")))
+    return inside.select(*keys, F.explode(hit).alias("_h"), F.col(x).alias("value")).select(*keys, F.col("_h.p").alias("p"), "value")
+
+
+def nearest_rank(p: float) -> Column:
+    return F.greatest(F.lit(1.0), F.round(F.col("_n") * (p / 100)))
+
+
 def percentile(rows: DataFrame, x: str, p: float, keys: list[str]) -> DataFrame:
     """Nearest-rank percentile: the value of rank max(1, round(n * p / 100)), unlike
-    interpolation. Two aggregations of (value, count) pairs bound what a rank scan holds."""
-    counted = rows.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(x)
-    n = F.sum("_c").over(Window.partitionBy(*keys))
-    rank = F.greatest(F.lit(1).cast("double"), F.round(n * (p / 100)))
-    upto = F.sum("_c").over(w)
-    hit = counted.withColumn("_u", upto).withColumn("_r", rank)
-    return hit.filter((F.col("_u") >= F.col("_r")) & (F.col("_u") - F.col("_c") < F.col("_r"))).select(*keys, F.col(x).alias("value"))
+    interpolation."""
+    return percentiles(rows, x, {0: nearest_rank(p)}, keys).drop("p")
+
+
+def all_percentiles(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """``keys, p, value`` for p from 0 to 100, by rank max(1, p * n div 100)."""
+    return percentiles(rows, x, {p: F.greatest(F.lit(1), F.floor(F.col("_n") * p / 100)) for p in range(101)}, keys)
+
+
+def without_outliers(rows: DataFrame, x: str, keys: list[str], fence: float = 1.5) -> DataFrame:
+    """Rows whose value is within ``fence`` quartile distances (1.5: without mild outliers,
+    3: without extreme ones) of the quartiles, which are nearest-rank."""
+    from functools import reduce as fold
+
+    q = percentiles(rows, x, {25: nearest_rank(25), 75: nearest_rank(75)}, keys)
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    bounds = q.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(at(25).alias("_lo"), at(75).alias("_hi"))
+    span = (F.col("_hi") - F.col("_lo")) * fence
+    same = fold(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    near = F.col(x).between(F.col("_lo") - span, F.col("_hi") + span)
+    return rows.join(bounds, same & near).select(*rows.columns)
+
+
+def thinned_evenly(rows: DataFrame, pos: Column, percent: float) -> DataFrame:
+    """That share of the rows, spread evenly over the axis; a filter, without a shuffle."""
+    return rows.filter(F.floor((pos + 1) * (percent / 100)) > F.floor(pos * (percent / 100)))
+
+
+def training_subset(rows: DataFrame, key: str, most: int, salt: str = "") -> DataFrame:
+    """At most ``most`` rows, drawn by the hash of their key, so a lost task draws the same
+    again. For learners that hold their training set; the bound is their parameter."""
+    from framewright.functions.mathx import uniform
+
+    return rows.orderBy(uniform(F.col(key), salt=salt), key).limit(most)
+
+
+def pareto_radius(distances: DataFrame, d: str) -> DataFrame:
+    """The radius of density estimation in one dimension: the 18th percentile of the
+    distances of all pairs, the least distance above 0 if that is 0, 1 without any."""
+    at = percentiles(distances, d, {18: nearest_rank(18)}, []).select(F.col("value").alias("_at"))
+    least = distances.agg(F.min(F.when(F.col(d) > 0, F.col(d))).alias("_least"))  # one row
+    joined = least.join(F.broadcast(at), how="left")  # one row
+    return joined.select(F.coalesce(F.when(F.col("_at") > 0, F.col("_at")), F.col("_least"), F.lit(1.0)).cast("double").alias("radius"))
 
 
 def mode(rows: DataFrame, value: str, keys: list[str], ignore=()) -> DataFrame:

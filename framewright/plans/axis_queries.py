@@ -8,7 +8,7 @@ from framewright.functions import labels as L
 from framewright.functions import mathx, strings, timeaxis
 from framewright.operators import runs as R
 from framewright.operators import windows as W
-from framewright.plans.base import frames, query, rounded, table
+from framewright.plans.base import FRAMES, frames, query, rounded, table
 
 KEYS = ["file_id"]
 SPEECH = L.MASK["speech"]
@@ -313,11 +313,17 @@ def nearest_segment(spark, sf):
 
 @query(
     "pseudo_scenes",
-    """, t AS (SELECT file_id, fli // 10 AS scene, min(fli) AS boundary FROM frames WHERE mask & 1024 = 0 AND fli >= 10 GROUP BY ALL)
-    SELECT * FROM t UNION ALL SELECT file_id, 0, 0 FROM frames WHERE fli = 0""",
+    "WITH RECURSIVE " + FRAMES + """, s AS (SELECT file_id, fli, mask & 1024 <> 0 AS speech FROM frames),
+    j AS (SELECT a.file_id, a.fli, CASE WHEN a.speech THEN min(b.fli) FILTER (NOT b.speech) ELSE a.fli END AS open, a.speech FROM s a JOIN s b ON a.file_id = b.file_id AND b.fli >= a.fli GROUP BY a.file_id, a.fli, a.speech),
+    g AS (SELECT j.file_id, j.fli, CASE WHEN j.speech THEN j.open + coalesce(greatest((min(b.fli) - j.open) // 2, 2), 0) ELSE j.open END AS goal
+      FROM j LEFT JOIN s b ON b.file_id = j.file_id AND b.speech AND b.fli > j.open GROUP BY j.file_id, j.fli, j.open, j.speech),
+    w AS (SELECT file_id, CAST(0 AS BIGINT) AS scene, CAST(0 AS BIGINT) AS boundary FROM s WHERE fli = 0
+      UNION ALL SELECT w.file_id, w.scene + 1, CAST(g.goal AS BIGINT) FROM w JOIN g ON g.file_id = w.file_id AND g.fli = w.boundary + 5
+        WHERE EXISTS (SELECT 1 FROM s WHERE s.file_id = w.file_id AND s.fli = g.goal))
+    SELECT * FROM w""",
 )
 def pseudo_scenes(spark, sf):
-    return R.pseudo_scenes(frames(spark, sf), L.has_any(F.col("mask"), SPEECH), 10, KEYS)
+    return R.pseudo_scenes(frames(spark, sf), L.has_any(F.col("mask"), SPEECH), 5, KEYS, pause=2)
 
 
 _W = "OVER (PARTITION BY file_id ORDER BY fli)"

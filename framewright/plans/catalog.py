@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from framewright.plans import (  # noqa: F401
     axis_queries,
+    control_queries,
     diarize,
     measure_queries,
     model_queries,

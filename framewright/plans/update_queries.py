@@ -86,11 +86,8 @@ def phone_labels(spark, sf):
     SELECT event_type, p * 10 AS p, v AS value FROM r, range(1, 10) t(p) WHERE r = greatest(1, round(n * p / 10.0))""",
 )
 def all_deciles(spark, sf):
-    e, out = table(spark, sf, "events"), None
-    for p in range(10, 100, 10):
-        one = T.percentile(e, "value", p, ["event_type"]).select("event_type", F.lit(p).cast("long").alias("p"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = T.percentiles(table(spark, sf, "events"), "value", {p: T.nearest_rank(p) for p in range(10, 100, 10)}, ["event_type"])
+    return out.withColumn("p", F.col("p").cast("long"))
 
 
 @query(
