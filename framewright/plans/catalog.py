@@ -6,6 +6,7 @@ from framewright.plans import (  # noqa: F401
     axis_queries,
     control_queries,
     diarize,
+    learner_queries,
     measure_queries,
     model_queries,
     scalar_queries,
