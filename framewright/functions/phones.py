@@ -28,3 +28,15 @@ def phone_mask(phone: Column) -> Column:
         .when(p == SILENCE, MASK["silence"])
         .otherwise(0)
     )
+
+
+def phone_code(phone: Column) -> Column:
+    """A phone's number in the order voiced, unvoiced, pauses, silence, from 0; -1 if unknown."""
+    names = F.array(*[F.lit(p) for p in [*VOICED, *UNVOICED, *PAUSES, SILENCE]])
+    return F.array_position(names, F.lower(F.trim(phone))).cast("long") - 1
+
+
+def phone_name(code: Column) -> Column:
+    """The phone of a number; null for none."""
+    names = F.array(*[F.lit(p) for p in [*VOICED, *UNVOICED, *PAUSES, SILENCE]])
+    return F.when(code >= 0, F.get(names, code.cast("int")))

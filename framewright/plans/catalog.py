@@ -11,6 +11,7 @@ from framewright.plans import (  # noqa: F401
     model_queries,
     scalar_queries,
     signal_queries,
+    store_queries,
     stream_queries,
     update_queries,
 )
