@@ -62,6 +62,20 @@ def pairwise(rows: DataFrame, key: str, vector: str, most: int = 5000) -> DataFr
     return reduce(DataFrame.union, done)
 
 
+def distances_from(queries: DataFrame, rows: DataFrame, key: str, vector: str, most: int = 5000) -> DataFrame:
+    """``a, b, d``: the distances of a stated set of queries ``a`` from all other rows ``b``,
+    in broadcast blocks of about ``most`` queries. A pair of queries is there once, with the
+    smaller one as ``a``."""
+    marked = rows.join(queries.select(F.col(key).alias("b"), F.lit(True).alias("_too")), F.col(key) == F.col("b"), "left")
+    every = marked.select(F.col(key).alias("b"), F.col(vector).alias("_vb"), F.coalesce("_too", F.lit(False)).alias("_too"))
+    done = []
+    for block in in_blocks(queries, key, most):
+        a = F.broadcast(block.select(F.col(key).alias("a"), F.col(vector).alias("_va")))
+        once = (F.col("a") < F.col("b")) | (F.col("a") > F.col("b")) & ~F.col("_too")
+        done.append(every.join(a, once).select("a", "b", euclid(F.col("_va"), F.col("_vb")).alias("d")))
+    return reduce(DataFrame.union, done)
+
+
 def without_known(parts: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
     """Segments that are equal to none of ``known``."""
     return parts.join(known.select(*columns).distinct(), columns, "left_anti")

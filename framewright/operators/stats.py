@@ -8,27 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentiles(rows: DataFrame, x: str, wanted: dict[int, Column], keys: list[str]) -> DataFrame:
+def percentiles(rows: DataFrame, x: str, wanted: dict[int, Column], keys: list[str], most: int = 10_000) -> DataFrame:
     """``keys, p, value``: for each p the value whose rank, from 1, is ``wanted[p]``, an
-    expression of the row count ``_n``. Counts of values go into bins of their size; a rank
-    is looked up among the bins first and then inside one, so no task sorts all values."""
+    expression of the row count ``_n``. Rows are counted in bins of their size first, which
+    tells the bin of each rank; only the rows of those bins are ranked by value then. The
+    bins found are broadcast if they are at most ``most``, and joined otherwise."""
     from framewright.functions.mathx import magnitude_bin
 
-    kept = rows.filter(F.col(x).isNotNull())
-    counted = kept.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", magnitude_bin(F.col(x)))
-    bins = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    kept = rows.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("value"), magnitude_bin(F.col(x)).alias("_b"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    bins = kept.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_s"))
     bins = bins.withColumn("_n", F.sum("_s").over(w)).withColumn("_upto", F.sum("_s").over(w.orderBy("_b")))
     asked = F.array(*[F.struct(F.lit(p).alias("p"), r.cast("long").alias("rank")) for p, r in wanted.items()])
     bins = bins.withColumn("_q", F.filter(asked, lambda q: (q["rank"] <= F.col("_upto")) & (q["rank"] > F.col("_upto") - F.col("_s"))))
-    found = bins.filter(F.size("_q") > 0).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_found"), "_q", (F.col("_upto") - F.col("_s")).alias("_before"))
+    found = bins.filter(F.size("_q") > 0).select(*named, F.col("_b").alias("_found"), "_q", (F.col("_upto") - F.col("_s")).alias("_before"))
+    few = found.limit(most + 1).collect()
+    if len(few) <= most:
+        found = F.broadcast(rows.sparkSession.createDataFrame(few, found.schema))
     same = F.col("_b") == F.col("_found")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = counted.join(found, same)
-    inside = inside.withColumn("_u", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(x)))
+    counted = kept.join(found, same).groupBy(*keys, "_b", "value").agg(F.count(F.lit(1)).alias("_c"), F.first("_q").alias("_q"), F.first("_before").alias("_before"))
+    inside = counted.withColumn("_u", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("value")))
     hit = F.filter("_q", lambda q: (q["rank"] <= F.col("_u")) & (q["rank"] > F.col("_u") - F.col("_c")))
-    return inside.select(*keys, F.explode(hit).alias("_h"), F.col(x).alias("value")).select(*keys, F.col("_h.p").alias("p"), "value")
+    return inside.select(*keys, F.explode(hit).alias("_h"), "value").select(*keys, F.col("_h.p").alias("p"), "value")
 
 
 def nearest_rank(p: float) -> Column:

@@ -146,14 +146,16 @@ def gmm_em_full(spark, sf):
     return spark.createDataFrame(rows, "k int, weight double, m0 double, m1 double, iterations int")
 
 
-LINK = f"""WITH {POINTS}, t AS (SELECT * FROM p WHERE vec_id % 50 = 0), d AS (SELECT x.label AS lx, y.label AS ly, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d FROM t x JOIN t y ON x.vec_id < y.vec_id),
+LINK = f"""WITH {POINTS}, d AS (SELECT x.label AS lx, y.label AS ly, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d FROM p x JOIN p y
+      ON x.vec_id % 50 = 0 AND (x.vec_id < y.vec_id OR x.vec_id > y.vec_id AND y.vec_id % 50 <> 0)),
     o AS (SELECT least(lx, ly) AS x, greatest(lx, ly) AS y, d FROM d WHERE lx <> ly)"""
 
 
 @query("linkage", LINK + ' SELECT x, y, round(min(d), 6) AS single, round(max(d), 6) AS complete, round(avg(d), 6) AS average FROM o GROUP BY x, y')
 def linkage(spark, sf):
-    p = points(spark, sf).filter("vec_id % 50 = 0")
-    return rounded(C.linkage(J.pairwise(p, "vec_id", "v"), p, "vec_id", "label"), "single", "complete", "average")
+    """From the distances of every 50th vector from all vectors."""
+    p = points(spark, sf)
+    return rounded(C.linkage(J.distances_from(p.filter("vec_id % 50 = 0"), p, "vec_id", "v"), p, "vec_id", "label"), "single", "complete", "average")
 
 
 @query(
