@@ -125,12 +125,19 @@ def column_stats(rows: DataFrame, vector: str, keys: list[str]) -> DataFrame:
 
 
 def histogram(rows: DataFrame, x: str, bins: int, keys: list[str]) -> DataFrame:
-    """Equal-width bins from 0 with count and mean; the largest value is in the last bin."""
+    """Equal-width bins from 0 with count and mean; the largest value is in the last bin. A
+    mean is the same in whatever order its rows come: decimals are added, which is exact to
+    18 places, after scaling by a power of two where a group's values are very large or small;
+    and it is no less than its least value and no more than its largest."""
     bounds = rows.groupBy(*keys).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
     joined = rows.join(bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))  # one row
     place = F.floor((F.col(x) - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
     place = F.when(F.col("_high") > F.col("_low"), F.least(place, F.lit(bins - 1))).otherwise(F.lit(0))
-    return joined.groupBy(*keys, place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
+    top = F.greatest(F.abs("_low"), F.abs("_high")).cast("double")
+    scale = F.when((top == 0) | top.between(1e-3, 1e9), 1.0).otherwise(F.pow(F.lit(2.0), F.least(-F.floor(F.log2(top)), F.lit(1000))))
+    mean = F.avg((F.col(x).cast("double") * scale).try_cast("decimal(28,18)")).cast("double") / F.max(scale)
+    mean = F.least(F.greatest(mean, F.min(F.col(x).cast("double"))), F.max(F.col(x).cast("double")))
+    return joined.groupBy(*keys, place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"))
 
 
 def otsu(bins: DataFrame, keys: list[str], total_bins: int) -> DataFrame:

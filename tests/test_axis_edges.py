@@ -57,3 +57,14 @@ def test_ids_and_distances(spark):
     got = sorted((r["a"], r["b"], r["d"]) for r in J.distances_from(v.filter("k % 3 = 0"), v, "k", "v", most=2).collect())
     want = [(a, b, float(abs(a * a - b * b))) for a in (0, 3, 6) for b in range(7) if a < b or a > b and b % 3]
     assert got == sorted(want)
+
+
+def test_means_in_any_order(spark):
+    """Means of decimals as written, so none of their own values is above them by a rounding error."""
+    files = {0: [0.1] * 10, 1: [1.1, 2.2, 3.3] * 20, 2: [1e-30, 2e-30, 3e-30], 3: [3e200, 1e200, 2e200], 4: [0.0] * 3, 5: [52.915, 52.935] * 30, 6: [-7e-310] * 7}
+    df = spark.createDataFrame([(k, x) for k, v in files.items() for x in v], "f int, x double")
+    for rows in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("x"))):
+        got = {r["f"]: (r["n"], r["mean"]) for r in T.histogram(rows, "x", 1, ["f"]).collect()}
+        want = {0: 0.1, 1: 2.2, 2: 2e-30, 3: 2e200, 4: 0.0, 5: 52.925, 6: -7e-310}
+        assert {k: m for k, (_, m) in got.items() if k not in (2, 3)} == {k: m for k, m in want.items() if k not in (2, 3)}
+        assert all(abs(got[k][1] / want[k] - 1) < 1e-15 for k in (2, 3)) and {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in files.items()}
