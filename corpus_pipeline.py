@@ -54,7 +54,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json")).drop("ids")
+    # a smaller table of pieces, as the workers hold what other stages left them
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), pieces=250_000).drop("ids")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("leaks", leaks), ("packing", sequences)]

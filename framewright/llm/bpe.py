@@ -97,11 +97,12 @@ class PieceEncoder(dict):
                 yield b"".join(map(get, find(text)))
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple[str, str, int], PieceEncoder] = {}
 
 
-def encoder(path: str, mode: str) -> PieceEncoder:
-    """This worker's encoder of the file, made once and kept for its later tasks."""
-    if (path, mode) not in _encoders:
-        _encoders[path, mode] = PieceEncoder(path, mode)
-    return _encoders[path, mode]
+def encoder(path: str, mode: str, most: int = 1_200_000) -> PieceEncoder:
+    """This worker's encoder of the file, made once and kept, with its table of about
+    ``most`` pieces (300 bytes each), for its later tasks."""
+    if (path, mode, most) not in _encoders:
+        _encoders[path, mode, most] = PieceEncoder(path, mode, most)
+    return _encoders[path, mode, most]

@@ -32,6 +32,9 @@ SCHEMA = (
     "sequence_id bigint, offset bigint, ids binary"
 )
 
+#: Rows whose texts are copied out of a batch at once.
+PART = 500
+
 
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
     """Places pieces of the given lengths (each under ``capacity``) into as few sequences
@@ -125,9 +128,11 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 1024,
     block: int = 1 << 19,
+    pieces: int = 1_200_000,
 ) -> DataFrame:
     """One row per piece: id, ``start, length, ids_crc32, doc_tokens, sequence_id, offset``
-    and the piece's ``ids`` as little-endian unsigned 32-bit integers."""
+    and the piece's ``ids`` as little-endian unsigned 32-bit integers. A worker keeps the
+    ids of about ``pieces`` pieces of text."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,7 @@ def pack(
 
         from framewright.llm.bpe import encoder
 
-        enc = encoder(tokenizer, "bytes")
+        enc = encoder(tokenizer, "bytes", pieces)
         packer = Packer(capacity, linear, quadratic, block, TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
         size = 0
@@ -146,7 +151,7 @@ def pack(
             types = [pa.int64()] * 7 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-        for batch in batches:
+        for batch in (b.slice(k, PART) for b in batches for k in range(0, len(b), PART)):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(texts)):
                 for row in packer.add(doc, ids + end):

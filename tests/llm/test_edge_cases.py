@@ -73,6 +73,20 @@ def test_packing(some, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_with_few_pieces_kept(spark):
+    """Texts of many different words, over parts of a batch, with a small table of pieces; the
+    table that a worker keeps is bounded by a parameter."""
+    from framewright.llm import bpe
+
+    path = tokenizer("byte_bpe_50k.json")
+    texts = [" ".join(f"w{k}x{j}, and" for j in range(40)) for k in range(300)]
+    enc = bpe.encoder(path, "bytes", 1000)
+    assert list(enc.encode(texts)) == list(bpe.PieceEncoder(path, "bytes").encode(texts)) and len(enc) < 1300
+    df = docs(spark, [(k, t, "en") for k, t in enumerate(texts * 5)]).coalesce(1)
+    rows = [sorted(map(tuple, packing.pack(df, path, pieces=n).drop("ids").collect())) for n in (1000, 250_000)]
+    assert rows[0] == rows[1] and len({r[0] for r in rows[0]}) == 1500
+
+
 def test_spans(spark, some, none):
     assert sentence_spans.repeats(none).count() == 0
     clean = sentence_spans.cleaned(some)
