@@ -14,6 +14,10 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Unicode White_Space, as in the tokenizers' \s (Python's own \s has four more).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run with its leading space, or white space: the byte-level pattern never joins across.
@@ -21,6 +25,8 @@ _RUNS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _WORDS = re.compile(f"[^{_WS}]+")
 #: Letters, then ASCII punctuation: a cut between them is always made.
 _TAIL = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if _TAIL.fullmatch(c))
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if _TAIL.fullmatch("a" + c) and c not in _LETTERS)
 
 
 def _shown() -> dict[int, int]:
@@ -96,6 +102,43 @@ class PieceEncoder(dict):
             else:
                 yield b"".join(map(get, find(text)))
 
+    def encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an array one after another, and how many each text has,
+        in the mode ``words``. Arrow splits the texts, so the table is asked only for what is
+        distinct in them: words in lower case, without punctuation after letters."""
+        if self._mode != "words":
+            raise ValueError("a byte-level file keeps white space")
+        if len(self) > self._most:
+            self.clear()
+        plain = [_PLAIN.fullmatch(text) is not None for text in texts.to_pylist()]
+        whole = [k for k, ok in enumerate(plain) if not ok]
+        # a text that is encoded as a whole is an empty word, which gets a number of its own
+        cut = pc.if_else(pa.array(plain, pa.bool_()), texts, pa.scalar("", texts.type))
+        split = pc.utf8_split_whitespace(pc.ascii_lower(cut))
+        begun = split.offsets.to_numpy()
+        named = split.flatten().dictionary_encode()
+        known, numbers = self._known(named.dictionary), named.indices.to_numpy()
+        if whole:
+            numbers = numbers.copy()
+            numbers[begun[whole]] = np.arange(len(known), len(known) + len(whole))
+            known = pa.concat_arrays([known, pa.array([self._whole(texts[k].as_py()) for k in whole], known.type)])
+        ids = known.take(pa.array(numbers))
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) // 4
+        return np.frombuffer(ids.buffers()[2] or b"", "<u4", ends[-1]), np.diff(ends[begun])
+
+    def _known(self, words: pa.Array) -> pa.Array:
+        """The ids of each word: those of its letters, then those of what follows them."""
+        stems = pc.ascii_rtrim(words, _PUNCTUATION)
+        cut = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$")
+        stems = pc.if_else(cut, stems, words)
+        tails = pc.if_else(cut, pc.utf8_ltrim(words, _LETTERS), pa.scalar("", words.type))
+        found = []
+        for pieces in (stems, tails):
+            named = pieces.dictionary_encode()
+            ids = map(self.__getitem__, named.dictionary.to_numpy(zero_copy_only=False).tolist())
+            found.append(pa.array(list(ids), pa.large_binary()).take(named.indices))
+        return pc.binary_join_element_wise(*found, pa.scalar(b"", pa.large_binary()))
+
 
 _encoders: dict[tuple[str, str, int], PieceEncoder] = {}
 

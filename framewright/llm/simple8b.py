@@ -21,10 +21,11 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,21 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 MAGIC = b"FWS8B001"
+#: Blocks that are encoded together, and bytes of text.
+_BLOCKS, _TEXT = 512, 1 << 22
 _LIMIT = np.uint64(1) << np.uint64(60)
-_BOUNDS = np.uint64(1) << np.arange(61, dtype=np.uint64)
+_WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)  # bits of each 16-bit number
+
+
+def _widths(values: np.ndarray) -> np.ndarray:
+    """The bits that each value takes, none for zero."""
+    top, low = int(values.max()), np.uint64(0xFFFF)
+    out = _WIDTHS.take((values & low).astype(np.int64))
+    for shift in (16, 32, 48):
+        if top >> shift:
+            part = (values >> np.uint64(shift) & low).astype(np.int64)
+            out = np.where(part > 0, _WIDTHS.take(part) + np.uint8(shift), out)
+    return out
 
 
 def encode_blocks(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -44,44 +58,45 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     n = len(ids)
     if not n:
         return []
-    blocks = -(-n // BLOCK)
-    wide = 240
-    values = np.zeros((blocks, BLOCK + wide), dtype=np.uint64)
-    flat = np.zeros(blocks * BLOCK, dtype=np.uint64)
-    flat[:n] = ids
-    values[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    blocks, full = -(-n // BLOCK), n // BLOCK
+    values = np.zeros((blocks, BLOCK + int(COUNTS[0])), dtype=np.uint64)
+    values[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
+    values[full:, : n - full * BLOCK] = ids[full * BLOCK :]
     escaped = values >= _LIMIT
     escapes = [np.flatnonzero(row) for row in escaped] if escaped.any() else [np.zeros(0, np.int64)] * blocks
     kept = [values[k, at].copy() for k, at in enumerate(escapes)]
     values[escaped] = 0
-    # widths, then for each place the selector of the most ids that fit from there on
-    widths = np.searchsorted(_BOUNDS, values.ravel(), side="right").reshape(values.shape)
-    best = np.full((blocks, BLOCK), len(COUNTS) - 1, dtype=np.int8)
+    # the widest id from each place on, in ever longer windows; a selector that fits is
+    # followed by selectors that fit, so counting them gives the one of the most ids
+    best = np.full(values.shape, len(COUNTS) - 1, dtype=np.uint8)
+    widest, size = _widths(values), 1
     for s in range(len(COUNTS) - 2, -1, -1):
-        over = np.zeros((blocks, values.shape[1] + 1), dtype=np.int32)
-        np.cumsum(widths > BITS[s], axis=1, out=over[:, 1:])
-        best[over[:, COUNTS[s] : COUNTS[s] + BLOCK] == over[:, :BLOCK]] = s
-    # all blocks advance together, a word at a time
-    ends = np.full(blocks, BLOCK)
-    ends[-1] = n - (blocks - 1) * BLOCK
-    at, rows, places = np.zeros(blocks, dtype=np.int64), [], []
-    live = np.arange(blocks)
-    while len(live):
-        rows.append(live)
-        places.append(at[live])
-        at[live] += COUNTS[best[live, at[live]]]
-        live = live[at[live] < ends[live]]
-    row, place = np.concatenate(rows), np.concatenate(places)
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order]
-    chosen = best[row, place]
+        more = int(COUNTS[s]) - size
+        widest, size = np.maximum(widest[:, :-more], widest[:, more:]), size + more
+        best[:, :BLOCK] -= widest[:, :BLOCK] <= BITS[s]
+    # all blocks advance together, a word at a time, until they are past their last place
+    following = np.arange(values.size).reshape(values.shape)
+    starts = following[:, 0].copy()
+    following[:, :BLOCK] += COUNTS[best[:, :BLOCK]]
+    at, seen = starts, []
+    while (at < starts + BLOCK).any():
+        seen.append(at)
+        at = following.take(at)
+    ends = starts + BLOCK
+    ends[-1] = starts[-1] + n - (blocks - 1) * BLOCK
+    places = np.stack(seen, axis=1)
+    inside = places < ends[:, None]
+    at, flat = places[inside], values.ravel()
+    chosen = best.take(at)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(chosen):
+    for s in np.flatnonzero(np.bincount(chosen)):
         if BITS[s]:
             own = np.flatnonzero(chosen == s)
+            first, packed = at[own], words[own]
             for k in range(COUNTS[s]):
-                words[own] |= values[row[own], place[own] + k] << np.uint64(k * BITS[s])
-    cuts = np.searchsorted(row, np.arange(blocks + 1))
+                packed |= flat.take(first + k) << np.uint64(k * BITS[s])
+            words[own] = packed
+    cuts = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
     return [(words[cuts[k] : cuts[k + 1]], escapes[k], kept[k]) for k in range(blocks)]
 
 
@@ -118,22 +133,28 @@ class Writer:
         self.ids = 0
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self._docs.append((doc, len(ids)))
-        self._held.append(np.asarray(ids, dtype=np.uint64))
+        self.extend([doc], ids, [len(ids)])
+
+    def extend(self, docs: list[int | None], ids: np.ndarray, lengths: Iterable[int]) -> None:
+        """Adds documents whose ids follow one another."""
+        self._docs += zip(docs, lengths)
+        self._held.append(ids if getattr(ids, "dtype", None) == np.uint32 else np.asarray(ids, dtype=np.uint64))
         self._size += len(ids)
         self.ids += len(ids)
-        if self._size >= 512 * BLOCK:
+        if self._size >= _BLOCKS * BLOCK:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.concatenate(self._held) if self._held else np.zeros(0, np.uint64)
+        ids = np.concatenate(self._held) if self._held else np.zeros(0, np.uint32)
         cut = len(ids) if last else len(ids) - len(ids) % BLOCK
-        for k, (words, places, values) in enumerate(encode_blocks(ids[:cut])):
-            data = words.astype("<u8").tobytes() + places.astype("<u8").tobytes() + values.astype("<u8").tobytes()
-            self._stream.write(data)
-            self._blocks.append((self._at, len(words), len(places), min(BLOCK, cut - k * BLOCK)))
-            self._at += len(data)
-        self._held, self._size = [ids[cut:]], len(ids) - cut
+        for first in range(0, cut, _BLOCKS * BLOCK):
+            some, out = ids[first : min(cut, first + _BLOCKS * BLOCK)], []
+            for k, (words, places, values) in enumerate(encode_blocks(some)):
+                out += [part.astype("<u8").tobytes() for part in (words, places, values) if len(part)]
+                self._blocks.append((self._at, len(words), len(places), min(BLOCK, len(some) - k * BLOCK)))
+                self._at += 8 * (len(words) + 2 * len(places))
+            self._stream.write(b"".join(out))
+        self._held, self._size = [ids[cut:].copy()], len(ids) - cut
 
     def close(self) -> None:
         self._flush(last=True)
@@ -192,11 +213,20 @@ def _system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at least a row and otherwise little more than ``_TEXT`` bytes
+    of text."""
+    passed = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // _TEXT
+    cuts = [0, *(np.flatnonzero(np.diff(passed)) + 1).tolist(), len(passed)]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 def write_files(
-    docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2
+    docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, pieces: int = 600_000
 ) -> DataFrame:
     """Writes the documents' ids in ascending order of document; returns a row per file:
-    ``file, part, n_ids``, in the documents' order by ``part``."""
+    ``file, part, n_ids``, in the documents' order by ``part``. A worker keeps the ids of
+    about ``pieces`` pieces of text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
@@ -206,15 +236,17 @@ def write_files(
 
         from framewright.llm.bpe import encoder
 
-        enc, writer = encoder(tokenizer, "words"), None
+        enc, writer = encoder(tokenizer, "words", pieces), None
         uri = f"{folder}/{uuid.uuid4().hex}.s8b"
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for part in _parts(batch):
                 if writer is None:
                     system, path = _system(uri)
                     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     writer = Writer(system.open_output_stream(path, compression=None))
-                writer.add(doc, np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id)))
+                ids, lengths = enc.encode_words(part.column(1))
+                ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id))
+                writer.extend(part.column(0).to_pylist(), ids, (lengths + 1).tolist())
         if writer is not None:
             writer.close()
             part = TaskContext.get().partitionId()

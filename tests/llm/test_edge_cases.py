@@ -2,6 +2,7 @@
 whose names clash with those that operators use."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,78 @@ def test_tokens(some, none):
     assert simple8b.round_trip(none, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+ODD = ["", " ", "a", " a  b.", "a,b dogs' dogs', don't (x) --", "na\xefve\xa0\xc4\xd6 x", "\ufb01 e\u0301 x\x85y", "\u03a9 \u6f22 abc", "a\x0bb\x0cc\td\re\nf", "\x1c a\x1fb", "<|ENDOFTEXT|> <|endoftext|>", "x" * 5000, "\u0130 \u0131 \u017f", "\u2026\u2018 \u20ac, Stra\xdfe!? 12,5"]
+
+
+def test_arrays_of_words():
+    """As whole texts, whatever is beside them; a batch asks the table once for a word."""
+    from framewright.llm import bpe
+
+    class Asked(bpe.PieceEncoder):
+        n = 0
+
+        def __getitem__(self, piece):
+            self.n += 1
+            return super().__getitem__(piece)
+
+    enc = Asked(tokenizer("word_bpe_49k.json"), "words", 50)
+    for kind in (pa.string(), pa.large_string()):
+        for texts in ([], ODD, ODD[::-1], *([t] for t in ODD)):
+            ids, lengths = enc.encode_words(pa.array(["z", *texts, "z"], kind).slice(1, len(texts)))
+            assert len(lengths) == len(texts) and lengths.sum() == len(ids)
+            assert [p.tobytes() for p in np.split(ids, np.cumsum(lengths))[:-1]] == [enc._whole(t) for t in texts]
+    enc.n = 0
+    assert len(enc.encode_words(pa.array(["Alpha beta, beta. ALPHA "] * 1000))[0]) == 6000 and enc.n < 10
+
+
+def test_parts_of_batches(monkeypatch):
+    texts = ["", "x" * 50, "y" * 9, "", "z" * 5, "x" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    monkeypatch.setattr(simple8b, "_TEXT", 20)
+    got = list(simple8b._parts(batch))
+    assert [x for p in got for x in p.column(1).to_pylist()] == texts and len(got) > 2
+    assert not list(simple8b._parts(batch.slice(0, 0)))
+
+
+@pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 5000])
+def test_words_of_blocks(n):
+    """Each word takes the most ids that fit, as a plain walk through a block does."""
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) >> rng.choice(np.array([4, 33, 47, 50, 60, 63], np.uint64), n)
+    ids[rng.random(n) < 0.3] = 0
+    ids[n // 2 : n // 2 + 600] = 0
+    ids[-1:] = 2**60
+    for k, (words, places, values) in enumerate(simple8b.encode_blocks(ids)):
+        block = ids[k * simple8b.BLOCK : (k + 1) * simple8b.BLOCK].tolist()
+        assert [(p, block[p]) for p in places.tolist()] == [(p, v) for p, v in enumerate(block) if v >= 2**60]
+        assert values.tolist() == [v for v in block if v >= 2**60]
+        small, at, wanted = [v if v < 2**60 else 0 for v in block], 0, []
+        while at < len(block):
+            s = next(s for s in range(16) if max(small[at : at + simple8b.COUNTS[s]]) < 1 << int(simple8b.BITS[s]))
+            own = small[at : at + simple8b.COUNTS[s]] if simple8b.BITS[s] else []
+            wanted.append(s << 60 | sum(v << i * int(simple8b.BITS[s]) for i, v in enumerate(own)))
+            at += int(simple8b.COUNTS[s])
+        assert words.tolist() == wanted
+
+
+def test_work_of_blocks():
+    """Encoding takes little more time, at most, than a running sum over the ids for each selector."""
+    import time
+
+    ids = np.random.default_rng(0).integers(0, 49_408, 512 * simple8b.BLOCK).astype(np.uint64)
+
+    def spent(run) -> float:
+        found = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            found.append(time.process_time() - begun)
+        return min(found)
+
+    sums = lambda: [np.cumsum(ids > 1 << int(b), dtype=np.int32) for b in simple8b.BITS]
+    assert spent(lambda: simple8b.encode_blocks(ids)) < 1.5 * spent(sums)
+
+
 PAGES = [(1, "http://a.org/x", "<p>one</p>"), (2, "http://a.org/x", "<p>one</p>"), (3, None, None), (4, "https://B.org:80/y?z#f", ""), (None, "http://a.org/x", "<p>one</p>"), (5, "no url", "<p>" + "x " * 50_000 + "</p>"), (1, "http://a.org/x", "<p>one</p>")]
 
 
